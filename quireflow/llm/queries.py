@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, quality, url_filter
 from ._spark import table
 
 
@@ -14,7 +16,38 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+#: Rules of the url filter (fixed values).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_chats(rows))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the quality labels of the ids that pages and labels share."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    judged = url_filter.judge(pages, pages.join(labels, "page_id").select("url", "good"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(quality.sample(docs, table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op7_chat": op7_chat,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
+}
 
 SQL: dict[str, str] = {}
 
@@ -38,3 +71,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hit_counts USING (doc_id) LEFT JOIN item_lists USING (doc_id)
 """
+
+SQL["op7_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+    + list_sum(list_transform(['<<SYS>>', '<</SYS>>', '[INST]', '[/INST]', '<s>', '</s>', '[ROLE]', '[:]', '[/ROLE]'], lambda c: (length(text) - length(replace(text, c, ''))) // length(c)))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+SQL["op8_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), named AS (
+  SELECT DISTINCT host, string_split(host, '.') AS p FROM parts
+), two AS (
+  SELECT host, p, array_to_string(list_slice(p, greatest(1, len(p) - 1), len(p)), '.') AS last2, p[len(p)] AS last1, array_to_string(list_slice(p, greatest(1, len(p) - 2), len(p)), '.') AS last3 FROM named
+), hosts AS (
+  SELECT host, CASE WHEN last2 IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN last3 ELSE last2 END AS domain,
+         CASE WHEN last2 IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN last2 ELSE last1 END AS suffix FROM two
+), c AS (
+  SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS k
+  FROM parts JOIN labels ON page_id = doc_id JOIN hosts USING (host) WHERE quality IS NOT NULL GROUP BY ALL
+), d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM c GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+sums AS (
+  SELECT 'host' AS lv, sum(n) AS n, sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS sq, count(*) AS g FROM c
+  UNION ALL SELECT 'domain', sum(n), sum(k) / sum(n), sum(k * k / n) / sum(n), count(*) FROM d
+  UNION ALL SELECT 'suffix', sum(n), sum(k) / sum(n), sum(k * k / n) / sum(n), count(*) FROM s
+), strengths AS (
+  SELECT lv, n, m, CASE WHEN sq - m * m - m * (1 - m) * g / n <= 0 THEN 1000.0
+    ELSE least(1000.0, greatest(1.0, (m * (1 - m) - (sq - m * m)) / (sq - m * m - m * (1 - m) * g / n))) END AS strength FROM sums
+), st AS (
+  SELECT max(m) FILTER (WHERE lv = 'suffix') AS m0, max(strength) FILTER (WHERE lv = 'suffix') AS a, max(strength) FILTER (WHERE lv = 'domain') AS b, max(strength) FILTER (WHERE lv = 'host') AS e FROM strengths
+), scored AS (
+  SELECT host, (coalesce(c.k, 0) + e * m2) / (coalesce(c.n, 0) + e) AS mean, coalesce(c.n, 0) + e AS w FROM (
+    SELECT h.*, st.*, (coalesce(d.k, 0) + b * m1) / (coalesce(d.n, 0) + b) AS m2 FROM (
+      SELECT hosts.*, (coalesce(s.k, 0) + a * m0) / (coalesce(s.n, 0) + a) AS m1 FROM hosts LEFT JOIN s USING (suffix), st) h
+    LEFT JOIN d ON d.domain = h.domain, st) x LEFT JOIN c USING (host)
+), bounds AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) AS bound FROM scored),
+rules(action, rule, h, p) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+fitting AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+FROM parts LEFT JOIN bounds USING (host) LEFT JOIN fitting USING (page_id)
+"""

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch; a single longer row makes a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -33,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of a few megabytes, however long they are: two
+    workers and their executor share one memory limit."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of its own under the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

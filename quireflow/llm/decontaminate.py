@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._spark import cut
+from ._spark import cut, small_batches
 
 WORD = K.byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: 2000 block_bytes of text become about ten times as much in needles.
@@ -144,6 +144,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """`docs` with n_words, found (hit runs by byte and word) and items (ids with an occurring
     window, sorted). The three names must be free in `docs`."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
+from ._spark import small_batches
 
 BITS = 18
 #: Labelled rows that training reads at most.
@@ -124,6 +125,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, doc_i
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
     """`docs` with the probability of label 1; `name` must be free."""
+    small_batches(docs.sparkSession)
     bits = int(np.log2(len(weights) - 1))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     column = docs.columns.index(text)

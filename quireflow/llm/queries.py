@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, quality, suffix_dedup, url_filter, vector_dedup, warc
+from . import chat, decontaminate, jaccard, pieces, quality, suffix_dedup, token_counts, url_filter, vector_dedup, warc
 from ._spark import scratch, table
 
 
@@ -27,6 +27,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sampled = pieces.sample(docs, pieces.vocabulary(), k=2, with_ids=False)
+    found = [F.col("samples")[name].alias(name) for name in ("n_pieces", "log_p", "perturbed", "log_inclusion", "ids_sha256")]
+    return sampled.select("doc_id", "n_units", F.size("samples").alias("n_samples"), *found, "round_trip")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "kept")
 
@@ -35,6 +43,21 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every text: a word goes in at a third, twelve
+    characters go at the middle, five are replaced near the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(start, end, text):
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
+
+    edits = F.array(edit(n / 3, n / 3, " edited"), edit(n / 2, n / 2 + 12, ""), edit(n * 0.9, n * 0.9 + 5, "2024, a"))
+    built = token_counts.build(docs).withColumn("edits", edits).withColumn("n_before", F.col("n_tokens"))
+    after = token_counts.recount(built)
+    return after.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.length("text").cast("long").alias("n_chars_edited"), F.size("leaf_chars").alias("n_leaves"), "n_encoded_chars")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -64,8 +87,10 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
+    "op3_pieces": op3_pieces,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard": op5_jaccard,
+    "op6_token_counts": op6_token_counts,
     "op7_chat": op7_chat,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,

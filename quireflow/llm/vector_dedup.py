@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, shuffle_width
+from ._spark import cut, shuffle_width, small_batches
 
 BLOCKS = 4
 #: Rows of a tile: at least and at most. A task holds two tiles.
@@ -154,6 +154,7 @@ def _join(dim: int, turn: np.ndarray, edges: list[tuple[int, int]], least: float
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, blocks: int = BLOCKS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`; ids are integers."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = cut(rows.mapInArrow(_checked, "id bigint, dim int, v binary"), "vectors")
     common = rows.where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, small_batches
 
 ROLL_BYTES = 64 << 20
 #: Uncompressed bytes of a shard.
@@ -185,6 +185,7 @@ def _shard_of(small: DataFrame, key: str, weight: str, shard_bytes: int) -> tupl
 def write_warc(rows: DataFrame, path: str, key: str, uri: str, payload: Column, least_revisit: int = LEAST_REVISIT, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> None:
     """Write one record a row to `path`, a new folder that all executors reach."""
     spark = rows.sparkSession
+    small_batches(spark)
     data = rows.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"))
     data = data.withColumn("digest", F.sha1("payload"))
     small = cut(data.select("key", "digest", F.octet_length("payload").cast("long").alias("n"), F.xxhash64("payload").alias("check")), "digests")

@@ -55,15 +55,33 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Scratch tables that were written and not yet deleted.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: a cut in its lineage that outlives
     lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The scratch tables that are there now; a mark for forget()."""
+    return list(_written)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no frame in use still reads."""
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            remove(spark, path)
+
+
 def shuffle_width(spark: SparkSession, size_bytes: float, per_task: float = 16 << 20) -> int:
     """Partitions for so many bytes, no fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size_bytes // per_task) + 1)

@@ -32,15 +32,16 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._spark import cut, shuffle_width
+from ._spark import cut, forget, small_batches, written
 
-SEED = 32
+SEED = 64
 #: Bytes of suffixes that a task sorts at once, and about as many that a range merges.
 RUN_BYTES = 48 << 20
 RANGE_BYTES = 16 << 20
@@ -394,18 +395,23 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (null
     where nothing was removed), key (of id and text: equal rows have equal keys)."""
     spark = docs.sparkSession
+    small_batches(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select("id", F.xxhash64("t", "id").alias("key"), "t")
     id_type = texts.schema["id"].dataType.simpleString()
 
+    before = written()
     samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(_sample_rows(length), f"h bigint, id {id_type}, key bigint, pos bigint"), "samples")
-    twice = samples.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that both sides of the join are plain exchanges and a hot seed can be split.
+    twice = cut(samples.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seeds")
     by_text = samples.join(twice, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     same = lambda x, y: x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
     joined = texts.join(by_text, same(texts, by_text), "left").select(texts["id"], texts["key"], texts["t"], "places")
     whole = F.col("places").isNull()
     split = joined.select("id", "key", F.octet_length("t").cast("long").alias("n_bytes"), F.when(whole, F.sha2("t", 256)).alias("sha"), F.when(~whole, F.col("t")).alias("t"), "places")
+    passed = [x for x in written() if x not in before]
     split = cut(split, "texts")
+    forget(spark, passed)
     dirty = split.where("places is not null").select("id", "key", "t", "places")
 
     total = dirty.agg(F.sum(F.size("places"))).first()[0] or 0
@@ -425,3 +431,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     untouched = split.where("places is null").select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), "n_bytes")
     out = untouched.unionByName(touched.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
     return out.select(F.col("id").alias(doc_id), "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def whole_characters(kept: Column) -> Column:
+    """The text of UTF-8 bytes that were cut anywhere: bytes of split characters are left out."""
+
+    @F.pandas_udf("string")
+    def clean(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return clean(kept)

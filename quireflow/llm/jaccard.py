@@ -8,13 +8,15 @@ Two documents link when their sets of distinct word n-grams satisfy 100 * |both|
    order is exact; this one keeps frequent n-grams out of the prefixes. A linking pair shares a
    column within the first n - ceil(percent * n / 100) + 1 columns of either row, and their sizes
    differ by the ratio at most. Rows (column, size, class) are range-sorted, so that a frequent
-   column spreads over tasks, and each run of one column with close sizes becomes a star.
-   Components of the stars are the blocks: no linking pair is in two of them.
+   column spreads over tasks. Columns of up to `most_rows` rows are multiplied: overlaps are
+   accumulated by pair, and a pair goes on if what it may have beyond the prefixes could lift it
+   over the bound that the two sizes set. Of a column with more rows, each run of close sizes is
+   kept together instead, without pairs. Components of both are blocks: no linking pair is in two.
 3. Each block's sets are multiplied: overlap counts of a row against the prefixes of the rows not
-   reached yet, pairs below the bound that their sizes set are discarded, the rest are counted
-   over whole rows. What is reached joins a component and leaves the product, so a group of many
-   near copies costs a few rows of products, never all of its pairs.
-   Blocks over `block_cells` n-grams are cut into parts, and each pair of parts is a task.
+   reached yet, pairs below the bound are discarded, the rest are counted over whole rows. What is
+   reached joins a component and leaves the product, so a group of many near copies costs a few
+   rows of products, never all of its pairs. A block over `block_cells` n-grams is cut into windows
+   of two neighbouring size bands, and those into parts; each pair of parts is a task.
 4. Components of the links found give each class, and so each document, its component.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. n-grams are 64-bit hashes.
@@ -26,22 +28,25 @@ repeated rows are returned as often as they occur.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._graph import components
-from ._spark import cut, shuffle_width
+from ._spark import cut, forget, shuffle_width, small_batches, written
 
 SPACE = K.byte_table((0x09, 0x0D), (0x20, 0x20))
 #: Cells of the sketch (a power of two) and the parts that it is summed in.
-SKETCH_BITS, SKETCH_PARTS = 20, 16
+SKETCH_BITS, SKETCH_PARTS = 22, 16
+#: Rows up to which a column's pairs are counted.
+MOST_ROWS = 64
 #: n-grams of a block that are multiplied in one task.
 BLOCK_CELLS = 1 << 20
 
@@ -83,7 +88,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["id", "n", "d1", "d2", "part", "counts"]
         for batch in batches:
             sizes, digests = [], []
@@ -91,11 +96,10 @@ def _describe(width: int):
                 sets = ngram_sets(bounds, data, width)
                 sizes += [len(s) for s in sets]
                 digests += [_digest(s) for s in sets]
-                if any(map(len, sets)):
-                    sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
         none = pa.nulls(SKETCH_PARTS, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -112,18 +116,66 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["part", "counts"])
 
 
+def _rank_cells(load: float):
+    """Counts of each part -> ranks: what a cell has above the common load is what its own frequent
+    n-grams have."""
+    spread = max(1.0, 3 * load**0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for counts in batch.column(1).to_pylist():
+                above = (np.frombuffer(counts, np.int64) - load) / spread
+                out.append(np.clip(4 * np.log2(np.maximum(1.0, above)), 0, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["part", "ranks"])
+
+    return run
+
+
 def column_ranks(described: DataFrame) -> np.ndarray:
-    """A rank of 0 to 255 for each sketch cell by its share of all n-grams. 2**20 bytes whatever
-    the input."""
-    parts = described.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch, "part int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    step = len(counts) // SKETCH_PARTS
-    for part, x in parts.collect():
-        counts[part * step : (part + 1) * step] = np.frombuffer(x, np.int64)
-    # What a cell has above the common load is what its own frequent n-grams have.
-    load = float(np.median(counts)) if counts.any() else 0.0
-    spread = max(1.0, 3 * np.sqrt(load))
-    return np.clip(4 * np.log2(np.maximum(1.0, (counts - load) / spread)), 0, 255).astype(np.uint8)
+    """A rank of 0 to 255 for each sketch cell by its share of all n-grams: 2**22 bytes whatever the
+    input."""
+    parts = described.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part")
+    sums = cut(parts.mapInArrow(_sum_sketch, "part int, counts binary"), "sketch")
+    load = (described.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    ranks = dict(sums.mapInArrow(_rank_cells(load), "part int, ranks binary").collect())
+    return np.frombuffer(b"".join(bytes(ranks[i]) for i in range(SKETCH_PARTS)), np.uint8) if ranks else np.zeros(1 << SKETCH_BITS, np.uint8)
+
+
+#: Bits that tell which documents are in blocks: as many for any input, so that they can be broadcast.
+#: With very many members they let more documents through to the join, never fewer.
+FLAG_BITS = 25
+
+
+def _flags_of(ids: np.ndarray) -> np.ndarray:
+    h = K.mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([h >> np.uint64(64 - FLAG_BITS), (h << np.uint64(FLAG_BITS)) >> np.uint64(64 - FLAG_BITS)]).astype(np.int64)
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FLAG_BITS >> 3, np.uint8)
+    for batch in batches:
+        for at in _flags_of(batch.column(0).to_numpy()):
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _join_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FLAG_BITS >> 3, np.uint8)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def _flagged(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            a, b = _flags_of(batch.column(0).to_numpy())
+            yield batch.filter(pa.array(((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)))
+
+    return run
 
 
 def _prefixes(width: int, percent: int, least: int, shared):
@@ -169,34 +221,96 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _stars(percent: int):
-    """Rows sorted by (g, n, c) -> edges of the runs, and the partition's first and last row."""
+#: Index pairs (i < j) of the rows of a short column, by their number.
+_PAIRS = [np.triu_indices(k, 1) for k in range(MOST_ROWS + 1)]
+
+
+def bound(n_a, n_b, percent: int):
+    """The least overlap with which rows of n_a and n_b link."""
+    return -(-percent * (n_a + n_b) // (100 + percent))
+
+
+def _columns(percent: int, most_rows: int):
+    """Rows sorted by (g, n, c) -> products (a, b, na, nb, overlap) of short columns, edges (a, b) of
+    the runs of long ones, and rows (a, na, g) of the partition's first and last column, which
+    other partitions may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, first, last, root = Forest(), None, None, 0
+        forest = Forest()
+        sums: list[np.ndarray] = []
+        held = 0
+        names = ["a", "b", "na", "nb", "overlap", "g"]
+
+        def summed() -> pa.RecordBatch:
+            rows = np.concatenate(sums) if sums else np.zeros((0, 4), np.int64)
+            order = np.lexsort((rows[:, 1], rows[:, 0]))
+            rows = rows[order]
+            new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[: len(rows)]
+            counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
+            rows = rows[new]
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(counts, pa.int64()), none], names=names)
+
+        def ends(g: int, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            """All rows of a short column; of a long one, linked here, the first and the last."""
+            if len(c) > most_rows:
+                column(n, c)
+                n, c = n[[0, -1]], c[[0, -1]]
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c), none, pa.array(n), none, none, pa.array(np.full(len(n), g), pa.int64())], names=names)
+
+        def column(n: np.ndarray, c: np.ndarray) -> None:
+            nonlocal held
+            if len(c) > most_rows:
+                follows = np.concatenate([[False], 100 * n[:-1] >= percent * n[1:]])
+                roots = c[np.maximum.accumulate(np.where(follows, 0, np.arange(len(c))))]
+                for x, y in zip(c.tolist(), roots.tolist(), strict=True):
+                    forest.join(x, y)
+                return
+            i, j = _PAIRS[len(c)]
+            near = 100 * n[i] >= percent * n[j]
+            if near.any():
+                i, j = i[near], j[near]
+                swap = c[i] > c[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                sums.append(np.stack([c[i], c[j], n[i], n[j]], axis=1))
+                held += len(i)
+
+        rest: list[tuple] = []
+        first = True
         for batch in batches:
-            if not batch.num_rows:
-                continue
             g, n, c = (batch.column(i).to_numpy() for i in range(3))
             n = n.astype(np.int64)
-            follows = np.zeros(len(g), bool)
-            follows[1:] = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            start = np.where(follows, 0, np.arange(len(g)))
-            roots = c[np.maximum.accumulate(start)]
-            if last is not None and last[0] == g[0] and 100 * last[1] >= percent * n[0]:
-                head = len(g) if follows[1:].all() else int(np.argmin(follows[1:])) + 1
-                roots = roots.copy()
-                roots[:head] = root
-            first = first or (int(g[0]), int(n[0]), int(c[0]))
-            last, root = (int(g[-1]), int(n[-1]), int(c[-1])), int(roots[-1])
-            differ = c != roots
-            if differ.any():
-                for a, b in np.unique(np.stack([c[differ], roots[differ]]), axis=1).T.tolist():
-                    forest.join(a, b)
-        edges = [(x, forest.root(x), None, None) for x in list(forest.up)]
-        if first:
-            edges += [(first[2], None, first[0], first[1]), (last[2], None, last[0], last[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(4)], names=["a", "b", "g", "n"])
+            if rest:
+                g, n, c = (np.concatenate([rest[0][i], x]) for i, x in enumerate((g, n, c)))
+            if not len(g):
+                continue
+            at = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            # Equal sets give equal rows: one each.
+            if first and len(at) > 2:
+                new = np.unique(np.stack([n[: at[1]], c[: at[1]]]), axis=1)
+                yield ends(int(g[0]), *new)
+                first, at = False, at[1:]
+            wide = np.flatnonzero(np.diff(at[:-1]) > 1)
+            for a, b in zip(at[wide].tolist(), at[wide + 1].tolist(), strict=True):
+                m, k = n[a:b], c[a:b]
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])])
+                if new.sum() > 1:
+                    column(m[new], k[new])
+                if held > 300_000:
+                    yield summed()
+                    sums, held = [], 0
+            rest = [(g[at[-2] :], n[at[-2] :], c[at[-2] :])]
+            if len(rest[0][0]) > 100_000:  # a column that fills many batches: its equal rows go, the rest are few bytes each
+                new = np.unique(np.stack([rest[0][1], rest[0][2]]), axis=1)
+                rest = [(np.full(new.shape[1], rest[0][0][0]), *new)]
+        if rest:
+            new = np.unique(np.stack([rest[0][1], rest[0][2]]), axis=1)
+            yield ends(int(rest[0][0][0]), *new)
+        yield summed()
+        rows = list(forest.up)
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([forest.root(x) for x in rows], pa.int64()), none, none, none, none], names=names)
 
     return run
 
@@ -249,7 +363,7 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[int]:
             shift = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans)
             rows, overlap = np.unique(owner[shift + np.arange(len(shift))], return_counts=True)
             rows_n = n[rows]
-            need = -(-percent * (n[i] + rows_n) // (100 + percent))
+            need = bound(n[i], rows_n, percent)
             # Up to the prefix that ends first all is counted; the rest of that row may still overlap.
             most = np.minimum(np.minimum(n[i], rows_n), overlap + np.maximum(n[i] - prefix[i], rows_n - prefix[rows]))
             ok = waiting[rows] & (100 * np.minimum(n[i], rows_n) >= percent * np.maximum(n[i], rows_n)) & (most >= need)
@@ -264,59 +378,71 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[int]:
     return label
 
 
-def _multiply(percent: int):
-    """Rows sorted by (block, i, j): id and set -> (a, b) links that span the components found."""
+def _multiply(percent: int, width: int):
+    """Rows sorted by (block, window, i, j): id, digest and text -> (a, b) links that span the
+    components found. A text that is not the class's own (of a repeated id) is left out."""
 
-    def solve(ids: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         known: dict[int, np.ndarray] = {}
-        for k, s in zip(ids, sets, strict=True):
-            known.setdefault(k, np.frombuffer(s, np.uint64))
+        at = 0
+        for _, _, bounds, data in K.slices(pa.array([r[3] for r in rows], pa.string())):
+            for grams in ngram_sets(bounds, data, width):
+                i, d1, d2, _ = rows[at]
+                at += 1
+                if i not in known and _digest(grams) == (d1, d2):
+                    known[i] = grams
         keys = sorted(known)
+        if len(keys) < 2:
+            return []
         label = block_links([known[k] for k in keys], percent)
         return [(k, keys[x]) for k, x in zip(keys, label, strict=True) if keys[x] != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, rows = None, []
         out: list[tuple[int, int]] = []
         for batch in batches:
-            for *k, i, s in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
+            for *k, i, d1, d2, t in zip(*(batch.column(x).to_pylist() for x in range(8)), strict=True):
                 if k != key:
-                    if len(ids) > 1:
-                        out += solve(ids, sets)
-                    key, ids, sets = k, [], []
-                ids.append(i)
-                sets.append(s)
+                    if len(rows) > 1:
+                        out += solve(rows)
+                    key, rows = k, []
+                rows.append((i, d1, d2, t))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
                 out = []
-        if len(ids) > 1:
-            out += solve(ids, sets)
+        if len(rows) > 1:
+            out += solve(rows)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _sets(width: int):
-    """Joined rows -> (block, parts, id, set) of rows whose set has the class's digest."""
+def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes such that every linking pair is connected."""
+    spark = ordered.sparkSession
+    found = cut(ordered.mapInArrow(_columns(percent, MOST_ROWS), "a bigint, b bigint, na bigint, nb bigint, overlap bigint, g bigint"), "columns")
+    # The first and last columns of all partitions may go on in others: a few rows a partition.
+    shared = found.where("g is not null").select("g", F.col("na").alias("n"), F.col("a").alias("c")).distinct()
+    w = Window.partitionBy("g").orderBy("n", "c")
+    before = shared.select("c", F.lag("c").over(w).alias("p"), F.lag("n").over(w).alias("m"), "n")
+    bridges = before.where(100 * F.col("m") >= percent * F.col("n")).select(F.col("c").alias("a"), F.col("p").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d1, d2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            keep, sets = [], []
-            for lo, _, bounds, data in K.slices(batch.column(3)):
-                for i, grams in enumerate(ngram_sets(bounds, data, width), lo):
-                    if _digest(grams) == (d1[i], d2[i]):
-                        keep.append(i)
-                        sets.append(grams.tobytes())
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(sets, pa.binary())], names=["block", "parts", "id", "grams"])
+    n = F.col("na") + F.col("nb")
+    least = F.ceil(n * percent / (100 + percent) - 1e-6)
+    beyond = F.greatest(*(F.col(x) - prefix_length_sql(x, percent) for x in ("na", "nb")))
+    products = found.where("overlap is not null").groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    near = products.where(F.least("na", "nb", F.col("overlap") + beyond) >= least).select("a", "b")
+    return near.union(found.where("overlap is null and b is not null").select("a", "b")).union(bridges)
 
-    return run
+
+def prefix_length_sql(n: str, percent: int):
+    return F.col(n) - F.ceil(F.col(n) * percent / 100 - 1e-6) + 1
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`; ids are integers."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     described = cut(texts.mapInArrow(_describe(width), "id bigint, n bigint, d1 bigint, d2 bigint, part int, counts binary"), "described")
     rows = described.where("part is null").select("id", "n", "d1", "d2")
@@ -324,29 +450,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Smaller sets link with equal sets only: one n-gram more is already below the share.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
 
+    before = written()
     ranks = spark.sparkContext.broadcast(column_ranks(described))
     prefixes = cut(texts.select("t").mapInArrow(_prefixes(width, percent, least, ranks), "g bigint, n int, c bigint"), "prefixes")
     width_of = shuffle_width(spark, 0)
     ordered = prefixes.repartitionByRange(width_of, "g", "n", "c").sortWithinPartitions("g", "n", "c")
-    stars = cut(ordered.mapInArrow(_stars(percent), "a bigint, b bigint, g bigint, n bigint"), "stars")
-    # Two rows a partition: a run that goes on in the next partition is joined here.
-    ends = sorted((g, n, a) for a, g, n in stars.where("g is not null").select("a", "g", "n").collect())
-    bridges = [(a, b) for (g, n, a), (h, m, b) in zip(ends, ends[1:], strict=False) if g == h and a != b and 100 * n >= percent * m]
-    edges = stars.where("b is not null").select("a", "b")
-    if bridges:
-        edges = edges.union(spark.createDataFrame(bridges, "a bigint, b bigint"))
-    blocks = components(edges)
+    blocks = components(_candidates(ordered, percent))
 
     grouped = classes.where(F.col("n") >= least).join(blocks.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1").where("id is not null")
-    parts = grouped.groupBy("block").agg(F.ceil(F.sum("n") / block_cells).cast("int").alias("parts"))
-    members = cut(grouped.join(parts, "block").select("block", "parts", "id", "d1", "d2"), "members")
-    whole = members.join(texts.where("id is not null"), "id").select("block", "parts", "id", "t", "d1", "d2")
-    sets = whole.mapInArrow(_sets(width), "block bigint, parts int, id bigint, grams binary")
-    own = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = pairs.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "grams")
-    tasks = tasks.repartition(width_of, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    links = cut(tasks.mapInArrow(_multiply(percent), "a bigint, b bigint"), "links")
+    # A block that is too large for a task is cut into windows of two neighbouring size bands (sizes
+    # of linking rows are at most one band apart), and a window that still is into parts.
+    step = math.log(100 / percent) * 1.001
+    total = grouped.groupBy("block").agg(F.sum("n").alias("cells"))
+    band = F.when(F.col("cells") > block_cells, F.floor(F.log("n") / step)).otherwise(F.lit(0))
+    windows = F.when(F.col("cells") > block_cells, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
+    placed = grouped.join(total, "block").withColumn("band", band).withColumn("window", F.explode(windows))
+    parts = placed.groupBy("block", "window").agg(F.ceil(F.sum("n") / block_cells).cast("int").alias("parts"), F.count("*").alias("m"))
+    one = placed.join(parts.where("m > 1"), ["block", "window"]).select("id", "d1", "d2", "block", F.struct("window", "parts").alias("w"))
+    members = cut(one.groupBy("id", "d1", "d2", "block").agg(F.collect_list("w").alias("windows")), "members")
+    bits = members.select("id").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
+    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
+    asked = texts.where("id is not null").mapInArrow(_flagged(shared), "id bigint, t string")
+    whole = members.join(asked, "id").withColumn("w", F.explode("windows"))
+    own = F.pmod(F.xxhash64("id"), F.col("w.parts")).cast("int")
+    pairs = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)))
+    tasks = pairs.select("block", "w.window", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "d1", "d2", "t")
+    keys = ["block", "window", "i", "j"]
+    tasks = tasks.repartition(width_of, *keys).sortWithinPartitions(*keys)
+    passed = [x for x in written() if x not in before]
+    links = cut(tasks.mapInArrow(_multiply(percent, width), "a bigint, b bigint"), "links")
+    forget(spark, passed)
 
     found = components(links)
     of_class = classes.join(found.withColumnRenamed("root", "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))

@@ -6,11 +6,24 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernels import cfi as C
 
-KEY = "array<struct<rank:int,v1:double,v2:double,v3:double>>"
-PARSED = f"struct<canonical:string,is_range:boolean,steps:array<int>,start_key:{KEY},end_key:{KEY},error:string,error_at:int>"
+
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+# Types as objects: a type in text form needs a running session already at import.
+KEY = T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in ("v1", "v2", "v3"))]))
+PARSED = T.StructType(
+    [
+        T.StructField("canonical", T.StringType()), T.StructField("is_range", T.BooleanType()), T.StructField("steps", T.ArrayType(T.IntegerType())), T.StructField("start_key", KEY),
+        T.StructField("end_key", KEY), T.StructField("error", T.StringType()), T.StructField("error_at", T.IntegerType()),
+    ]
+)
 
 
 def _key(rows: list[tuple]) -> list[dict]:
@@ -35,7 +48,7 @@ def cfi_parse(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parsed(s) for s in source], columns=["canonical", "is_range", "steps", "start_key", "end_key", "error", "error_at"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cfi_between(a: pd.Series, b: pd.Series) -> pd.Series:
     """The smallest range from one point to another; null where there is none."""
 
@@ -49,7 +62,7 @@ def cfi_between(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
-@F.pandas_udf("struct<package:string,content:string>")
+@F.pandas_udf(_strings("package", "content"))
 def cfi_split(source: pd.Series) -> pd.DataFrame:
     """A publication CFI as the package path of a spine item and the CFI inside its document."""
 
@@ -63,7 +76,7 @@ def cfi_split(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(s) for s in source], columns=["package", "content"])
 
 
-@F.pandas_udf("struct<bias:string,step_id:string,before:string,after:string>")
+@F.pandas_udf(_strings("bias", "step_id", "before", "after"))
 def cfi_assertions(source: pd.Series) -> pd.DataFrame:
     """Side bias, the last step's id and the text assertions of a point."""
 

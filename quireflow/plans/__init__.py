@@ -1,0 +1 @@
+"""Test tables read as publications, and the plans that queries share."""

@@ -1,12 +1,470 @@
-"""Queries over the driver's tables, one per operator of the library."""
+"""Queries over the driver's tables, one or more for each operator, and what DuckDB says to them.
+
+SQL has no entry where a query can't be said in it; those queries are held against kernels in the tests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import cfi, media, text, uri, values
+from .operators import metadata, positions, publication, reader, search, titles
+from .operators import text as extraction
+from .plans import tables as T
+from .plans.tables import table
+from .streaming import events as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LEN16 = "(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+_RES = f"""res AS (
+  SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, doc_id, {_LEN16} AS len,
+         CASE WHEN {_LEN16} = 0 THEN 1 ELSE CAST(ceil({_LEN16} / 1024.0) AS BIGINT) END AS cnt FROM documents
+), placed AS (
+  SELECT *, 1 + CAST(coalesce(sum(cnt) OVER (PARTITION BY book ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(cnt) OVER (PARTITION BY book) AS BIGINT) AS total FROM res
+)"""
+
+
+# --- positions ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {_RES} SELECT book, idx, start + k AS position, least(k * 1024, len) AS \"offset\", CASE WHEN len = 0 THEN 0.0 ELSE least(k * 1024, len) / len END AS progression, (start - 1 + k) / total AS total_progression FROM placed, unnest(range(cnt)) t(k)")
+def positions_documents(spark: SparkSession, d: str) -> DataFrame:
+    return positions.positions(positions.resources(T.document_resources(spark, d)))
+
+
+@query(f"WITH {_RES} SELECT book, idx, cnt AS count, start, total FROM placed")
+def running_start_per_publication(spark: SparkSession, d: str) -> DataFrame:
+    return positions.resources(T.document_resources(spark, d)).select("book", "idx", "count", "start", "total")
+
+
+@query(f"""WITH {_RES}, p(p) AS (VALUES (0.0::DOUBLE), (0.3), (0.7), (1.0), (1.5)),
+f AS (SELECT *, least(greatest(p, 0), 1) AS c, (cnt - 1) * 1024 AS last FROM placed, p)
+SELECT book, idx, p AS progression, CASE WHEN len = 0 THEN start ELSE start + least(cnt - 1, CAST(floor(round(c * len) / 1024) AS BIGINT)) END AS position,
+  least(greatest((start - 1 + CASE WHEN len = 0 THEN c * cnt WHEN c * len <= last THEN c * len / 1024 ELSE least(greatest((cnt - 1) + (c * len - last) / (len - last), 0), cnt) END) / total, 0), 1) AS total_progression FROM f""")
+def position_at_progression(spark: SparkSession, d: str) -> DataFrame:
+    r = positions.resources(T.document_resources(spark, d))
+    p = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.7, 1.0, 1.5)]))
+    r = r.withColumn("progression", p)
+    return r.select("book", "idx", "progression", positions.at_progression(F.col("progression")).cast("long").alias("position"), positions.total_at_progression(F.col("progression")).alias("total_progression"))
+
+
+@query(f"""WITH {_RES}, o AS (SELECT *, (cnt - 1) * 1024 AS last, len // 2 AS mid FROM placed)
+SELECT book, idx, CASE WHEN len = 0 THEN start ELSE start + least(cnt - 1, mid // 1024) END AS position,
+  least(greatest((start - 1 + CASE WHEN len = 0 THEN 0 WHEN mid <= last THEN mid / 1024 ELSE least(greatest((cnt - 1) + (mid - last) / (len - last), 0), cnt) END) / total, 0), 1) AS total_progression FROM o""")
+def position_at_offset(spark: SparkSession, d: str) -> DataFrame:
+    r = positions.resources(T.document_resources(spark, d)).withColumn("at", positions.at_offset(F.floor(F.col("length") / 2), F.col("length")))
+    return r.select("book", "idx", F.col("at.position").cast("long").alias("position"), "at.total_progression")
+
+
+@query(f"WITH {_RES}, w AS (SELECT DISTINCT book, 1 + (event_id % total) AS position FROM events JOIN (SELECT DISTINCT book, total FROM placed) ON book = 'src' || (user_id % 20)) SELECT w.book, position, idx, (position - start) * 1024 AS \"offset\" FROM w JOIN placed p ON p.book = w.book AND position >= start AND position < start + cnt")
+def position_of_offset(spark: SparkSession, d: str) -> DataFrame:
+    r = positions.resources(T.document_resources(spark, d))
+    e = table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("book"), "event_id")
+    wanted = e.join(r.groupBy("book").agg(F.max("total").alias("total")), "book").select("book", (1 + F.col("event_id") % F.col("total")).alias("position")).distinct()
+    return positions.locate_positions(wanted, r).select("book", "position", "idx", "offset")
+
+
+@query(f"WITH {_RES} SELECT book, CAST(sum(cnt) AS BIGINT) AS positions, 0 AS n_unreadable FROM placed GROUP BY book")
+def position_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = positions.totals(positions.resources(T.document_resources(spark, d)))
+    return t.select("book", "positions", F.size("unreadable").alias("n_unreadable"))
+
+
+@query(f"WITH {_RES} SELECT book, idx, CAST(doc_id AS VARCHAR) AS href, cnt AS count, start, total, true AS valid FROM placed")
+def positions_cache_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    back = positions.from_cache(positions.cache(positions.resources(T.document_resources(spark, d))))
+    return back.select("book", "idx", "href", "count", "start", "total", "valid")
+
+
+@query("SELECT DISTINCT source AS book FROM documents WHERE source <> 'src3'")
+def positions_cache_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every book's cache fits, but that of src3, whose reading order lost a document."""
+    r = T.document_resources(spark, d)
+    cached = positions.from_cache(positions.cache(positions.resources(r)))
+    return positions.matches(cached, r.where("not (book = 'src3' and idx = 0)"))
+
+
+# --- titles and navigation ---------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, (SELECT arg_max(t.text, t.turn) FROM conversations t WHERE t.conv_id = c.conv_id AND t.role = 'user' AND t.turn <= c.turn) AS title FROM conversations c")
+def toc_title_asof(spark: SparkSession, d: str) -> DataFrame:
+    """User turns are the contents entries of a conversation; every turn gets the last one's text."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("idx"), F.lit(0).cast("long").alias("offset"), "role", "text")
+    toc = rows.where("role = 'user'").select("book", "idx", "offset", F.col("idx").alias("ord"), F.col("text").alias("title"))
+    found = titles.title_at(rows.select("book", "idx", "offset"), toc)
+    return found.select(F.col("book").alias("conv_id"), F.col("idx").alias("turn"), "title")
+
+
+@query("SELECT source AS book, doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def chapter_step(spark: SparkSession, d: str) -> DataFrame:
+    steps = titles.chapter_steps(table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("idx"), F.col("doc_id").alias("href")))
+    return steps.select("book", F.col("idx").alias("doc_id"), "previous", "next")
+
+
+# --- search ------------------------------------------------------------------------------------
+
+_FOLD = "lower(translate(regexp_replace(regexp_replace({c}, '[\\x{{00AD}}\\x{{200B}}\\x{{2060}}\\x{{FEFF}}]', '', 'g'), '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}]+', ' ', 'g'), 'àâäáãèéêëîïíìôöóòõùûüúñçÀÂÄÁÃÈÉÊËÎÏÍÌÔÖÓÒÕÙÛÜÚÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC'))"
+_LINES = "lines AS (SELECT doc_id, u.block - 1 AS block, trim(regexp_replace(u.line, '[ \\t\\r\\f]+', ' ', 'g')) AS text FROM (SELECT doc_id, unnest(list_zip(range(1, len(l) + 1), l)) AS z FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) q, LATERAL (SELECT z[1] AS block, z[2] AS line) u WHERE trim(regexp_replace(u.line, '[ \\t\\r\\f]+', ' ', 'g')) <> '')"
+
+
+@query(f"WITH {_LINES}, f AS (SELECT doc_id, block, {_FOLD.format(c='text')} AS f FROM lines) SELECT doc_id, block, CAST((length(f) - length(replace(f, 'ing the', ''))) // 7 AS INTEGER) AS n FROM f WHERE contains(f, 'ing the')")
+def search_counts(spark: SparkSession, d: str) -> DataFrame:
+    return search.counts(T.lines(spark, d), "ING  thé").where("n > 0").select("doc_id", "block", "n")
+
+
+@query(f"WITH {_LINES}, f AS (SELECT doc_id, block, {_FOLD.format(c='text')} AS f FROM lines) SELECT doc_id, block, CAST(len(regexp_extract_all(' ' || regexp_replace(f, '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '  ', 'g') || ' ', ' the ')) AS INTEGER) AS n FROM f WHERE regexp_matches(' ' || regexp_replace(f, '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '  ', 'g') || ' ', ' the ')")
+def search_whole_word(spark: SparkSession, d: str) -> DataFrame:
+    return search.word_counts(T.lines(spark, d), "The").where("n > 0").select("doc_id", "block", "n")
+
+
+@query(f"WITH {_LINES} SELECT item_id AS query_id, doc_id, block, CAST(instr(l.text, b.text) - 1 AS INTEGER) AS start, CAST(instr(l.text, b.text) - 1 + length(b.text) AS INTEGER) AS \"end\" FROM lines l JOIN (SELECT item_id, trim(text) AS text FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%') b ON contains(l.text, b.text)")
+def search_first_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where benchmark items stand in lines: their first hits (case and marks must match here, as in the
+    oracle)."""
+    items = table(spark, d, "benchmark").where("not contains(text, '\n')").select(F.col("item_id").alias("query_id"), F.trim("text").alias("query"))
+    found = search.hits(T.lines(spark, d), items, ["doc_id", "block"], case=True, diacritics=True)
+    return found.groupBy("query_id", "doc_id", "block").agg(F.min("start").alias("start"), F.min("end").alias("end"))
+
+
+_WORDS = ("of the", "ing the", "with that")
+_HITS = f"""{_LINES}, q(query_id, needle) AS (VALUES (0::BIGINT, 'of the'), (1::BIGINT, 'ing the'), (2::BIGINT, 'with that')),
+f AS (SELECT doc_id, block, {_FOLD.format(c='text')} AS f FROM lines),
+parts AS (SELECT query_id, needle, doc_id, block, unnest(list_zip(range(1, len(s) + 1), s)) AS z, s FROM (SELECT query_id, needle, doc_id, block, string_split(f, needle) AS s FROM f, q WHERE contains(f, needle)) x),
+hits AS (SELECT query_id, doc_id, block, CAST(list_sum(list_transform(list_slice(s, 1, CAST(z[1] AS BIGINT)), lambda y: length(y))) + (z[1] - 1) * length(needle) AS INTEGER) AS start, length(needle) AS n FROM parts WHERE z[1] < len(s))"""
+
+
+@query(f"WITH {_HITS} SELECT query_id, doc_id, block, start, CAST(start + n AS INTEGER) AS \"end\" FROM hits")
+def search_all_offsets(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id bigint, query string")
+    return search.hits(T.lines(spark, d), asked, ["doc_id", "block"]).select("query_id", "doc_id", "block", "start", "end")
+
+
+@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, block, start) AS rank FROM hits) SELECT query_id, doc_id, block, start, rank FROM r WHERE rank <= 25")
+def search_topn_per_query(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id bigint, query string")
+    found = search.first_per_query(search.hits(T.lines(spark, d), asked, ["doc_id", "block"]), ["doc_id", "block", "start"], 25)
+    return found.select("query_id", "doc_id", "block", "start", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_HITS}, r AS (SELECT query_id, hits.doc_id, block, start, text, n FROM hits JOIN lines USING (doc_id, block)) SELECT query_id, doc_id, block, start, nullif(substr(text, greatest(start - 20, 0) + 1, least(20, start)), '') AS before, substr(text, start + 1, n) AS highlight, nullif(substr(text, start + n + 1, 20), '') AS after FROM r WHERE query_id = 2")
+def search_context(spark: SparkSession, d: str) -> DataFrame:
+    lines = T.lines(spark, d)
+    asked = spark.createDataFrame([(2, "with that")], "query_id bigint, query string")
+    found = search.hits(lines, asked, ["doc_id", "block"]).join(lines, ["doc_id", "block"])
+    return search.with_context(found, F.col("text"), 20).select("query_id", "doc_id", "block", "start", "before", "highlight", "after")
+
+
+@query(f"WITH {_LINES}, f AS (SELECT doc_id, block, {_FOLD.format(c='text')} AS f FROM lines) SELECT doc_id, block, CAST((length(f) - length(replace(f, 'of the and', ''))) // 10 AS INTEGER) AS n FROM f WHERE contains(f, 'of the and')")
+def search_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with the inverted index as a prefilter."""
+    lines = T.lines(spark, d)
+    kept = search.candidates(lines, search.index(lines, ["doc_id", "block"]), "of the and", ["doc_id", "block"])
+    return search.counts(kept, "of the and").where("n > 0").select("doc_id", "block", "n")
+
+
+# --- packages as relations ---------------------------------------------------------------------
+
+_MANIFEST = """manifest AS (SELECT CAST(o_custkey AS VARCHAR) AS book, CAST(o_orderkey AS VARCHAR) AS item_id, o_orderkey AS n, 'r' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.xhtml' WHEN 1 THEN '.jpg' WHEN 2 THEN '.bin' ELSE '.HTM' END AS path FROM orders)"""
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as manifest items of their customer's book."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("book"), F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("n"))
+    suffix = F.when(o["n"] % 4 == 0, ".xhtml").when(o["n"] % 4 == 1, ".jpg").when(o["n"] % 4 == 2, ".bin").otherwise(".HTM")
+    return o.withColumn("path", F.concat(F.lit("r"), "item_id", suffix)).withColumn("href", F.col("path")).withColumn("external", F.lit(False))
+
+
+def _spine(manifest: DataFrame) -> DataFrame:
+    """Items with numbers divisible by 3; those divisible by 9 are not linear."""
+    s = manifest.where("n % 3 = 0")
+    return s.select("book", F.col("item_id").alias("idref"), F.col("n").alias("pos"), F.when(F.col("n") % 9 == 0, "no").otherwise("yes").alias("linear"))
+
+
+@query(f"WITH {_MANIFEST} SELECT book, item_id FROM manifest WHERE NOT (n % 3 = 0 AND n % 9 <> 0)")
+def resources_not_linear(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest(spark, d)
+    return publication.resources_not_linear(m, _spine(m)).select("book", "item_id")
+
+
+@query(f"WITH {_MANIFEST} SELECT book, item_id FROM manifest WHERE CAST(item_id AS BIGINT) NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5)")
+def missing_resources(spark: SparkSession, d: str) -> DataFrame:
+    """Items without an entry; orders with a fifth line have one."""
+    m = _manifest(spark, d)
+    there = table(spark, d, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").cast("string").alias("item_id")).join(m, "item_id").select("book", "path")
+    return publication.missing_resources(m, there).select("book", "item_id")
+
+
+@query(f"WITH {_MANIFEST} SELECT book, n AS pos, n % 9 <> 0 AS linear, path FROM manifest WHERE n % 3 = 0")
+def spine_with_items(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest(spark, d)
+    return publication.spine_with_items(_spine(m), m.select("book", "item_id", "path")).select("book", "pos", "linear", "path")
+
+
+@query(f"WITH {_MANIFEST} SELECT DISTINCT book, 'no linear reading order' AS message FROM manifest WHERE n % 3 = 0 GROUP BY book HAVING count(*) FILTER (WHERE n % 9 <> 0) = 0")
+def spine_errors(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest(spark, d)
+    return publication.spine_errors(_spine(m), m)
+
+
+_GRAPH = "(VALUES ('b', 'a1', 'a2', 'image/x', false), ('b', 'a2', 'a3', 'image/y', false), ('b', 'a3', NULL, 'image/png', false), ('b', 'c1', 'c2', 'x/x', false), ('b', 'c2', 'c1', 'x/x', false), ('b', 'd1', 'zz', 'text/html', false), ('b', 'e1', 'e1', 'x/x', false), ('b', 'f1', 'a1', 'video/mp4', true))"
+
+
+def _graph(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_GRAPH} AS g(book, item_id, fallback, media_type, external)")
+
+
+@query(f"""WITH RECURSIVE g(book, item_id, fallback, media_type, external) AS {_GRAPH},
+w AS (SELECT book, item_id, 1 AS step, fallback AS target, [item_id] AS seen, fallback = item_id AS cyclic FROM g WHERE fallback IN (SELECT item_id FROM g)
+  UNION ALL SELECT w.book, w.item_id, step + 1, g.fallback, list_append(seen, target), list_contains(list_append(seen, target), g.fallback) FROM w JOIN g ON g.item_id = target WHERE NOT cyclic AND g.fallback IN (SELECT item_id FROM g))
+SELECT book, item_id, CAST(step AS INTEGER) AS step, target, cyclic FROM w""")
+def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
+    return publication.fallback_chains(_graph(spark))
+
+
+@query("SELECT * FROM (VALUES ('b', 'a1', 'a3'), ('b', 'a2', 'a3'), ('b', 'a3', 'a3'), ('b', 'd1', 'd1'), ('b', 'f1', 'a3')) t(book, item_id, target)")
+def accepted_fallback(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(spark)
+    return publication.accepted_fallback(g, g.where("false"))
+
+
+# --- metadata ----------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as metadata records of their customer's book: the status is the property."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("property"), F.col("o_orderpriority").alias("value"), F.lit(None).cast("string").alias("refines"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS book, arg_min(o_orderpriority, (CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) * 10000000000 + o_orderkey) AS title FROM orders GROUP BY o_custkey")
+def title_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as titles of their customer's book: status F is the main title, P a subtitle."""
+    kind = F.when(F.col("o_orderstatus") == "F", "main").when(F.col("o_orderstatus") == "P", "subtitle")
+    t = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("book"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("value"), kind.alias("title_type"), F.lit(None).cast("string").alias("display_seq"))
+    return metadata.main_titles(t).select("book", "title")
+
+
+@query("SELECT o_custkey AS book, o_orderstatus AS property, arg_min(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY ALL")
+def first_wins_properties(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.first_values(_records(spark, d))
+
+
+@query("SELECT o_custkey AS book, o_orderstatus AS property, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS joined FROM orders GROUP BY ALL")
+def multi_value_properties(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.all_values(_records(spark, d)).select("book", "property", F.array_join("values", "|").alias("joined"))
+
+
+@query("SELECT o_custkey AS book, coalesce(arg_min(o_orderdate, o_orderkey) FILTER (WHERE o_orderstatus = 'P'), arg_min(o_orderdate, o_orderkey)) AS date FROM orders GROUP BY o_custkey")
+def publication_dates(spark: SparkSession, d: str) -> DataFrame:
+    event = F.when(F.col("o_orderstatus") == "P", "publication").otherwise("creation")
+    return metadata.publication_date(table(spark, d, "orders").select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("ord"), F.col("o_orderdate").alias("value"), event.alias("event")))
+
+
+# --- values ------------------------------------------------------------------------------------
+
+
+@query(r"""WITH v(declared, href) AS (VALUES ('image/jpg', 'a'), ('text/xml', 'a.svg'), ('text/xml', 'a'), ('TEXT/HTML; charset=x', 'a.xhtml'), (NULL, 'd/b.CSS?x#y'), ('application/octet-stream', 'c'), ('bad type', 'x.png'), ('audio/mpeg', 'x.png'))
+SELECT *, CASE WHEN declared = 'image/jpg' THEN 'image/jpeg' WHEN declared = 'text/xml' THEN CASE WHEN href LIKE '%.svg' THEN 'image/svg+xml' ELSE 'application/xml' END
+  WHEN declared LIKE 'TEXT%' THEN 'application/xhtml+xml' WHEN declared IS NULL THEN 'text/css' WHEN declared LIKE '%octet%' THEN 'application/octet-stream' WHEN declared = 'bad type' THEN 'image/png' ELSE declared END AS media_type FROM v""")
+def media_type_normalise(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("image/jpg", "a"), ("text/xml", "a.svg"), ("text/xml", "a"), ("TEXT/HTML; charset=x", "a.xhtml"), (None, "d/b.CSS?x#y"), ("application/octet-stream", "c"), ("bad type", "x.png"), ("audio/mpeg", "x.png")], "declared string, href string")
+    return rows.withColumn("media_type", media.normalise(F.col("declared"), F.col("href")))
+
+
+@query("""SELECT * FROM (VALUES ('bytes=0-9', 206, 0::BIGINT, 10::BIGINT), ('bytes=90-', 206, 90, 100), ('bytes=-5', 206, 95, 100), ('bytes=50-500', 206, 50, 100), ('bytes=100-', 416, NULL, NULL), ('bytes=9-3', 416, NULL, NULL), ('bytes=-0', 416, NULL, NULL), ('bytes=a-b', 200, NULL, NULL), (NULL, 200, NULL, NULL)) t(header, status, start, "end")""")
+def byte_range_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("bytes=0-9",), ("bytes=90-",), ("bytes=-5",), ("bytes=50-500",), ("bytes=100-",), ("bytes=9-3",), ("bytes=-0",), ("bytes=a-b",), (None,)], "header string")
+    return rows.select("header", values.byte_range(F.col("header"), F.lit(100).cast("bigint")).alias("r")).select("header", "r.*")
+
+
+@query("SELECT page_id, replace(replace(replace(replace(url || ' <\"&\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.escape_html(F.concat("url", F.lit(' <"&">'))).alias("escaped"))
+
+
+@query("SELECT event_id, (event_id % 3) * 3600 + (event_id % 60) * 60 + (event_id % 7) * 0.5::DOUBLE AS seconds FROM events")
+def clock_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    clock = F.concat((e % 3).cast("string"), F.lit(":"), (e % 60).cast("string"), F.lit(":"), ((e % 7) * 0.5).cast("double").cast("string"))
+    return table(spark, d, "events").select("event_id", values.clock_seconds(clock).alias("seconds"))
+
+
+@query("SELECT * FROM (VALUES ('2024', TIMESTAMP '2024-01-01'), ('2024-05', TIMESTAMP '2024-05-01'), ('2024-02-29', TIMESTAMP '2024-02-29'), ('2023-02-29', NULL), ('2024-02-31', NULL), ('banana', NULL), (' 2020-01-02T03:04:05Z ', TIMESTAMP '2020-01-02 03:04:05')) t(value, date)")
+def date_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("2024",), ("2024-05",), ("2024-02-29",), ("2023-02-29",), ("2024-02-31",), ("banana",), (" 2020-01-02T03:04:05Z ",)], "value string")
+    return rows.select("value", values.book_date(F.col("value")).cast("timestamp_ntz").alias("date"))
+
+
+@query("SELECT * FROM (VALUES ('a/b.x', 'a/b.x'), ('a/../b', 'b'), ('./a//b', 'a/b'), ('../a', NULL), ('/a', NULL), ('a\\b', NULL), ('a%20b', 'a%20b'), ('C:/x', NULL), ('.', NULL)) t(name, path)")
+def archive_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("a/b.x",), ("a/../b",), ("./a//b",), ("../a",), ("/a",), ("a\\b",), ("a%20b",), ("C:/x",), (".",)], "name string")
+    return rows.select("name", uri.archive_path(F.col("name")).alias("path"))
+
+
+@query("SELECT * FROM (VALUES ('x.html', 'a/x.html'), ('../x%20y.html?q#f', 'x y.html'), ('a+b', 'a/a+b'), ('#f', 'a/b.html'), ('../../x', NULL), ('http://h/x', NULL), ('x%2Fy', NULL), ('x%zz', NULL), ('%C3%A9', 'a/é')) t(reference, path)")
+def resource_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("x.html",), ("../x%20y.html?q#f",), ("a+b",), ("#f",), ("../../x",), ("http://h/x",), ("x%2Fy",), ("x%zz",), ("%C3%A9",)], "reference string")
+    return rows.select("reference", uri.resource_path(F.col("reference"), F.lit("a/b.html")).alias("path"))
+
+
+@query("SELECT event_id, CAST((event_id >> 24 & 255) / 255.0 AS DOUBLE) AS alpha, CAST(event_id >> 16 & 255 AS INTEGER) AS red, CAST(event_id >> 8 & 255 AS INTEGER) AS green, CAST(event_id & 255 AS INTEGER) AS blue FROM events")
+def color_channels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", values.channels(F.col("event_id")).alias("c")).select("event_id", "c.*")
+
+
+# --- text of pages -----------------------------------------------------------------------------
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS title FROM pages")
+def page_title(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract(T.pages(spark, d), keep=["page_id"]).select("page_id", "title")
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS h1 FROM pages")
+def page_h1(spark: SparkSession, d: str) -> DataFrame:
+    b = extraction.blocks(extraction.extract(T.pages(spark, d), keep=["page_id"]), ["page_id"])
+    return b.where("kind = 'heading' and heading_level = 1").select("page_id", F.col("text").alias("h1"))
+
+
+@query()
+def page_text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.blocks(extraction.extract(T.pages(spark, d), keep=["page_id"]), ["page_id"])
+
+
+@query("SELECT 0 AS wrong")
+def cfi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every 50th offset of every page goes to a CFI and back; a point between blocks snaps to the
+    next text. Pages whose samples differ otherwise: none."""
+    found = extraction.cfi_samples(T.pages(spark, d), keep=["page_id"])
+    return found.agg(F.count_if((F.col("match") != "exact") | (F.abs(F.col("back") - F.col("offset")) > 1) | (F.col("range_start") > F.col("range_end"))).cast("int").alias("wrong"))
+
+
+@query()
+def prepared_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a reader shows them: length, and what must not be there any more."""
+    shown = reader.prepared(T.pages(spark, d).withColumn("fixed", F.lit(False)))
+    return shown.select("book", "path", F.length("html").alias("chars"), F.contains("html", F.lit("<script")).alias("has_script"), "error")
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS book, len(regexp_extract_all(html, '<li>')) AS n_items FROM pages")
+def page_list_items(spark: SparkSession, d: str) -> DataFrame:
+    b = extraction.blocks(extraction.extract(T.pages(spark, d), keep=["book", "page_id"]), ["book", "page_id"])
+    return b.groupBy("page_id", "book").agg(F.count_if(F.col("list_depth") > 0).alias("n_items"))
+
+
+# --- locations ---------------------------------------------------------------------------------
+
+
+@query("""SELECT item_id, doc_id, CASE WHEN hit > 0 THEN 'text' ELSE 'progression' END AS match, CAST(CASE WHEN hit > 0 THEN hit - 1 ELSE floor(n_chars * 0.5 + 0.5) END AS BIGINT) AS start
+FROM (SELECT b.item_id, d.doc_id, d.n_chars, instr(replace(d.text, chr(10), ' '), replace(b.text, chr(10), ' ')) AS hit FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)""")
+def resolve_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as stored highlights with progression 0.5 in the documents of their residue: found
+    by text (the first occurrence), else by progression."""
+    b = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("highlight"), (F.col("item_id") % 40).alias("r"))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.replace("text", F.lit("\n"), F.lit(" ")).alias("flat"), (F.col("doc_id") % 40).alias("r"))
+    j = docs.join(b, "r")
+    at = F.expr("locate(highlight, flat)")
+    return j.select("item_id", "doc_id", F.when(at > 0, "text").otherwise("progression").alias("match"), F.when(at > 0, at - 1).otherwise(F.floor(F.col("n_chars") * 0.5 + 0.5)).cast("long").alias("start"))
+
+
+@query("SELECT * FROM (VALUES (0, '/2'), (1, '/4'), (2, '/4/2'), (3, '/4/2/1:0'), (4, '/4/2/1:3'), (5, '/4/2/2'), (6, '/4/2~1.5'), (7, '/4/2!/2'), (8, '/10')) t(rank, expression)")
+def cfi_order(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame([(x,) for x in ("/4/2!/2", "/10", "/4/2/1:3", "/4/2~1.5", "/2", "/4/2/2", "/4", "/4/2/1:0", "/4/2")], "expression string")
+    p = rows.withColumn("p", cfi.cfi_parse("expression"))
+    return p.select((F.row_number().over(Window.orderBy(*cfi.order(F.col("p")))) - 1).alias("rank"), "expression")
+
+
+@query("SELECT page_id, page_id % 6 * 2 + 2 AS step FROM pages ORDER BY 1")
+def cfi_step_order(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of synthetic CFIs, read back by the grammar."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("epubcfi(/6/"), (F.col("page_id") % 6 * 2 + 2).cast("string"), F.lit("[p"), F.col("page_id").cast("string"), F.lit("]!/4/2/1:3)")).alias("c"))
+    return p.select("page_id", F.element_at(cfi.cfi_parse("c")["steps"], 2).cast("long").alias("step"))
+
+
+# --- reader events -----------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS first FROM events),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+SELECT user_id AS reader, max(ts) AS ts, count(*) AS n FROM s GROUP BY user_id, burst""")
+def debounced_events(spark: SparkSession, d: str) -> DataFrame:
+    e = T.reader_events(spark, d)
+    return streams.debounced(e.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "event_id").select("reader", F.col("ts").cast("timestamp_ntz").alias("ts"), "n")
+
+
+@query("SELECT user_id AS reader, max(ts) AS ts, arg_max(event_type, ts) AS type FROM events GROUP BY user_id")
+def latest_location_state(spark: SparkSession, d: str) -> DataFrame:
+    return streams.latest(T.reader_events(spark, d), "type").select("reader", F.col("ts").cast("timestamp_ntz").alias("ts"), "type")
+
+
+@query("SELECT user_id AS reader, date_trunc('day', ts) + INTERVAL '1 day' AS frame, arg_max(event_type, ts) AS type FROM events GROUP BY ALL")
+def coalesced_frames(spark: SparkSession, d: str) -> DataFrame:
+    e = T.reader_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.coalesced(e, "1 day", "type").select("reader", F.col("frame").cast("timestamp_ntz").alias("frame"), "type")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'view')")
+def decoded_events(spark: SparkSession, d: str) -> DataFrame:
+    return streams.decoded(T.reader_events(spark, d), schema="struct<k:bigint>", types=("click", "view")).select("event_id", "k")
+
+
+@query("""WITH c AS (SELECT user_id AS reader, event_type AS "group", event_id AS revision, value > 20 AS kept FROM events),
+l AS (SELECT reader, "group", max(revision) AS revision, arg_max(kept, revision) AS kept, min(revision) AS since FROM c GROUP BY ALL) SELECT reader, "group", revision, since FROM l WHERE kept""")
+def decorations_in_force(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as decoration groups: a change with value 20 or less empties its group."""
+    item = F.struct(F.col("event_id").cast("string").alias("id"))
+    c = T.reader_events(spark, d).select("reader", F.col("type").alias("group"), F.col("event_id").alias("revision"), F.when(F.col("value") > 20, F.array(item)).otherwise(F.array().cast("array<struct<id:string>>")).alias("items"))
+    return reader.latest_decorations(c).select("reader", "group", "revision", "since")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END AS step FROM events WHERE event_type = 'click'")
+def page_turns(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type = 'click'")
+    return e.select("event_id", reader.page_turn(F.lit("swipeLeft"), F.when(F.col("event_id") % 2 == 0, "rtl").otherwise("ltr")).alias("step"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 405 WHEN page_id % 5 = 1 THEN 403 WHEN page_id % 5 = 2 THEN 404 WHEN page_id % 5 = 3 THEN 206 ELSE 200 END AS status FROM pages")
+def served_requests(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.octet_length("html").cast("long").alias("length"), F.lit("text/html").alias("media_type"))
+    k = F.col("page_id") % 5
+    requests = p.select(F.col("page_id").alias("id"), F.when(k == 0, "POST").otherwise("GET").alias("method"), F.when(k == 1, "evil.example").otherwise("127.0.0.1:8080").alias("host"), F.concat(F.lit("/t0k/"), F.when(k == 2, "none.html").otherwise(F.col("path"))).alias("path"), F.when(k == 3, "bytes=0-9").alias("range"))
+    return reader.respond(requests, p.select("path", "media_type", "length"), "t0k").select(F.col("id").alias("page_id"), "status")
+
+
+@query("SELECT doc_id, CAST(1 + doc_id % 50 AS VARCHAR) AS position, lang || ' · page ' || (1 + doc_id % 50) || ' of 50 · ' || CAST(round((doc_id % 50) / 50.0 * 100) AS INTEGER) || ' %' AS line FROM documents")
+def progress_line(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id") % 50
+    return table(spark, d, "documents").select("doc_id", (1 + n).cast("string").alias("position"), reader.progress_line(F.col("lang"), 1 + n, F.lit(50), n / 50.0).alias("line"))
+
+
+# --- flagship ----------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Search with locations: folded hits in documents, each with its position and progression."""
+    r = positions.resources(T.document_resources(spark, d)).select("book", "idx", "doc_id", "length", "count", "start", "total")
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id bigint, query string")
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    found = search.hits(texts, asked, ["doc_id"]).withColumnRenamed("start", "hit_start").withColumnRenamed("end", "hit_end")
+    joined = found.join(r, "doc_id").withColumn("at", positions.at_offset(F.col("hit_start"), F.col("length")))
+    return joined.select("query", "book", "idx", "doc_id", "hit_start", "hit_end", F.col("at.position").alias("position"), "at.total_progression")
+
+
+QUERIES["flagship_search"] = flagship

@@ -1,0 +1 @@
+"""Where books come from."""

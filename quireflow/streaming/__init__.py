@@ -1,0 +1 @@
+"""Reader events with Structured Streaming."""

@@ -50,15 +50,6 @@ _FIELDS = [
 ]
 
 
-def _plain(x):
-    """Values as Arrow's nested builders take them: maps as pairs."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if isinstance(x, (list, tuple)):
-        return [_plain(v) for v in x]
-    return x
-
-
 def _pairs(row: dict, *names: str) -> dict:
     return row | {n: list((row.get(n) or {}).items()) for n in names}
 
@@ -106,7 +97,7 @@ class Library:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [_plain(_book_row(c or b"", limits, options)) for c in batch.column(1).to_pylist()]
+                rows = [_book_row(c or b"", limits, options) for c in batch.column(1).to_pylist()]
                 for r in rows:
                     if failfast and r["error"]:
                         raise BookError(**r["error"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uri import resource_path, without_fragment
@@ -53,10 +53,8 @@ def progress_line(title: Column, position: Column, total: Column, progression: C
 def latest_decorations(changes: DataFrame) -> DataFrame:
     """Decorations in force: of each (reader, group) the last revision's list; an empty list deletes it.
     Groups are in the order of their first use. changes: (reader, group, revision, items array)."""
-    w = Window.partitionBy("reader", "group").orderBy(F.desc("revision"))
-    first = changes.groupBy("reader", "group").agg(F.min("revision").alias("since"))
-    last = changes.withColumn("_n", F.row_number().over(w)).where("_n = 1 and size(items) > 0").drop("_n")
-    return last.join(first, ["reader", "group"])
+    last = changes.groupBy("reader", "group").agg(F.max_by("items", "revision").alias("items"), F.max("revision").alias("revision"), F.min("revision").alias("since"))
+    return last.where("size(items) > 0")
 
 
 def decoration_errors(changes: DataFrame) -> DataFrame:

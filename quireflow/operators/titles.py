@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import last_before
+from .running import last_before, numbered
 
 
 def entries(nav: DataFrame, targets: DataFrame) -> DataFrame:
@@ -38,9 +38,11 @@ def title_at(points: DataFrame, toc: DataFrame, links: DataFrame | None = None)
 
 
 def chapter_steps(reading_order: DataFrame) -> DataFrame:
-    """The resource before and after each one; null at the ends."""
-    w = Window.partitionBy("book").orderBy("idx")
-    return reading_order.withColumn("previous", F.lag("href").over(w)).withColumn("next", F.lead("href").over(w))
+    """The resource before and after each one; null at the ends. Neighbours meet by number, so a long
+    reading order spreads over tasks."""
+    rows = numbered(reading_order, "book", "idx", "_n")
+    near = lambda shift, name: rows.select("book", (F.col("_n") + shift).alias("_n"), F.col("href").alias(name))
+    return rows.join(near(1, "previous"), ["book", "_n"], "left").join(near(-1, "next"), ["book", "_n"], "left").drop("_n")
 
 
 def outline(nav: DataFrame, kind: str = "toc") -> DataFrame:

@@ -41,11 +41,11 @@ def repeat_remover(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents, without the bytes of strings of 400 bytes that also start elsewhere. What is
     left of a character that was cut through goes too; n_chars is counted anew."""
     _begin(spark)
-    found = suffix_dedup.dedup(docs).where("kept is not null")
+    found = suffix_dedup.dedup(docs, as_text=True).where("kept is not null")
     changed = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_key"])
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["doc_id"])
     joined = docs.join(changed, (key == changed["_key"]) & docs["doc_id"].eqNullSafe(changed["_id"]), "left")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(suffix_dedup.whole_characters(F.col("_kept")))
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.col("_kept"))
     out = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*docs.columns)
 

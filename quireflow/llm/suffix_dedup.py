@@ -30,12 +30,13 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
@@ -43,7 +44,7 @@ from ._spark import cut, forget, small_batches, written
 
 SEED = 64
 #: Bytes of suffixes that a task sorts at once, and about as many that a range merges.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
 
 
@@ -168,11 +169,10 @@ def _runs(length: int, splitters: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, int] = {}
-        held, run_id = 0, None
+        # A run's number: of the partition and within it, so the same when a task is repeated.
+        held, run_id = 0, TaskContext.get().partitionId() << 24
         for batch in batches:
-            for i, text, places in _texts(batch):
-                # A run's number: that of its first text, unlike any other run's and the same again.
-                run_id = _digest(repr((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), places[0])).encode())[0] if run_id is None else run_id
+            for _, text, places in _texts(batch):
                 for p in places:
                     s = around(text, p, length)
                     if s not in found:
@@ -180,7 +180,7 @@ def _runs(length: int, splitters: list[bytes]):
                     found[s] = found.get(s, 0) + 1
                 if held > RUN_BYTES:
                     yield coded(found, run_id)
-                    found, held, run_id = {}, 0, None
+                    found, held, run_id = {}, 0, run_id + 1
         if found:
             yield coded(found, run_id)
 
@@ -367,10 +367,10 @@ def _places(length: int):
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """(id, key, t, spans) -> sizes and what is kept."""
     for batch in batches:
-        removed, spans, shas, kept = [], [], [], []
+        sizes, removed, spans, shas, kept = [], [], [], [], []
         for _, text, found in _texts(batch):
             out, last, gone, n = [], 0, 0, 0
             for a, b in sorted((s["a"], s["b"]) for s in found or ()):
@@ -384,16 +384,18 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = b
             out.append(text[last:])
             whole = b"".join(out)
+            sizes.append(len(text))
             removed.append(gone)
             spans.append(n)
             shas.append(hashlib.sha256(whole).hexdigest())
-            kept.append(whole)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas), pa.array(kept, pa.binary())], names=["id", "key", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kept.append(whole.decode("utf-8", "ignore") if as_text else whole)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas), pa.array(kept, pa.string() if as_text else pa.binary())], names=["id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, as_text: bool = False) -> DataFrame:
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (null
-    where nothing was removed), key (of id and text: equal rows have equal keys)."""
+    where nothing was removed; binary, or with as_text whole characters only), key (of id and text:
+    equal rows have equal keys)."""
     spark = docs.sparkSession
     small_batches(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -426,18 +428,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     places = dirty.mapInArrow(_places(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, pos bigint")
     spans = places.join(answers, ["c1", "c2"]).groupBy("id", "key").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("spans"))
     done = dirty.select("id", "key", "t").join(spans, same(dirty, spans), "left").select(dirty["id"], dirty["key"], "t", "spans")
-    cut_texts = done.mapInArrow(_cut_out, f"id {id_type}, key bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    touched = cut_texts.withColumn("n_bytes", F.col("n_removed") + F.octet_length("kept"))
-    untouched = split.where("places is null").select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), "n_bytes")
-    out = untouched.unionByName(touched.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
+    kind = "string" if as_text else "binary"
+    cut_texts = done.mapInArrow(partial(_cut_out, as_text=as_text), f"id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {kind}")
+    untouched = split.where("places is null").select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("kept"), "n_bytes")
+    out = untouched.unionByName(cut_texts.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
     return out.select(F.col("id").alias(doc_id), "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
-
-def whole_characters(kept: Column) -> Column:
-    """The text of UTF-8 bytes that were cut anywhere: bytes of split characters are left out."""
-
-    @F.pandas_udf("string")
-    def clean(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return clean(kept)

@@ -12,7 +12,8 @@ more, the documents pass over the blocks one after another, each pass cut by a w
 
 Defined results: a null or wordless text has no words and is never contaminated; a null or
 wordless item matches nothing; an item with a null id hits words but is not listed; repeated
-items count once by id; repeated documents give one row each; extra columns are ignored.
+items count once by id; repeated documents give one row each; extra columns are passed on, those
+that bear a name of the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -142,8 +143,9 @@ def _pass(shared, text_at: int, name_found: str, name_items: str, name_words: st
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with n_words, found (hit runs by byte and word) and items (ids with an occurring
-    window, sorted). The three names must be free in `docs`."""
+    window, sorted). Columns of these names in `docs` are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop(*({"n_words", "found", "items"} - {text}))
     small_batches(spark)
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -170,9 +172,11 @@ def summary(scanned: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Documents that are not contaminated, with their own columns only."""
-    return summary(scan(docs, items, **options)).where(~F.col("contaminated")).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Documents that are not contaminated, with their own columns, whatever those are called."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = summary(scan(plain, items, text=f"c{docs.columns.index(text)}", **options)).where(~F.col("contaminated"))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def strip_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -193,7 +197,9 @@ def strip_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
     at = docs.columns.index(text)
-    return scan(docs, items, text=text, **options).select(*docs.columns, "found").mapInArrow(cut_out, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    cut_texts = scan(plain, items, text=f"c{at}", **options).select(*plain.columns, "found").mapInArrow(cut_out, plain.schema)
+    return cut_texts.toDF(*docs.columns)
 
 
 def digest_of(ids: list[str]) -> str:

@@ -124,7 +124,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, doc_i
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the probability of label 1; `name` must be free."""
+    """`docs` with the probability of label 1; a column `name` of docs is replaced."""
+    docs = docs.drop(name) if name != text else docs
     small_batches(docs.sparkSession)
     bits = int(np.log2(len(weights) - 1))
     shared = docs.sparkSession.sparkContext.broadcast(weights)

@@ -174,7 +174,8 @@ class Tree:
 
 
 def build(docs: DataFrame, text: str = "text", leaf_chars: int = LEAF_CHARS, ranks: bytes | None = None) -> DataFrame:
-    """`docs` with n_tokens, leaf_chars and leaf_tokens; the names must be free."""
+    """`docs` with n_tokens, leaf_chars and leaf_tokens; columns of these names in `docs` are replaced."""
+    docs = docs.drop(*({"n_tokens", "leaf_chars", "leaf_tokens"} - {text}))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks or load_ranks())
     column = docs.columns.index(text)
@@ -193,6 +194,7 @@ def build(docs: DataFrame, text: str = "text", leaf_chars: int = LEAF_CHARS, ran
 def recount(built: DataFrame, edits: str = "edits", text: str = "text", ranks: bytes | None = None) -> DataFrame:
     """Rows of build() with a column of edits (EDITS) -> the same with the edited text, its leaves and
     n_tokens, and n_encoded_chars: how many characters had to be encoded again."""
+    built = built.drop("n_encoded_chars")
     shared = built.sparkSession.sparkContext.broadcast(ranks or load_ranks())
     names = built.columns
     at = {n: names.index(n) for n in (text, edits, "n_tokens", "leaf_chars", "leaf_tokens")}

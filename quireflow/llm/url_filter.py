@@ -89,7 +89,9 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], url: str = "url", threshold: float = 0.5, z: float = 1.645) -> DataFrame:
-    """`pages` with host, path, rule, verdict; the names must be free. outcomes: url, good."""
+    """`pages` with host, path, rule and verdict; columns of these names, and `bound`, are replaced.
+    outcomes: url, good."""
+    pages = pages.drop(*({"host", "path", "rule", "verdict", "bound"} - {url}))
     parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     named = outcomes.select(host_of(F.col("url")).alias("host"), F.col("good"))
     scores = reputation(parts.select("host").distinct(), named, z)

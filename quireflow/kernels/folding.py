@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -65,11 +65,36 @@ class Folded:
     """Folded units; unit i came from source units starts[i] to ends[i]."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: Sequence[int]
+    ends: Sequence[int]
+
+
+@cache
+def _plain_table(rule: Sensitivity) -> tuple[dict[int, str], re.Pattern]:
+    """What each unit that folds to one unit becomes, and a pattern of all else: runs of spaces, and
+    units that vanish, grow or pair."""
+    table, odd = {}, ["\ud800-\udfff"]
+    for code in (*range(0xD800), *range(0xE000, 0x10000)):
+        char = chr(code)
+        folded = "" if _ignored.match(char) else _fold_char(char, rule)
+        if folded is None:
+            table[code] = " "
+        elif len(folded) != 1 or folded > "\uffff":
+            odd.append(re.escape(char))
+        elif folded != char:
+            table[code] = folded
+    spaces = char_class(SPACES)
+    return table, re.compile(f"[{''.join(odd)}]|{spaces}{{2}}")
 
 
 def fold(units: str, rule: Sensitivity = Sensitivity()) -> Folded:
+    table, odd = _plain_table(rule)
+    if not odd.search(units):  # the usual text: unit for unit
+        return Folded(units.translate(table), range(len(units)), range(1, len(units) + 1))
+    return _fold_by_characters(units, rule)
+
+
+def _fold_by_characters(units: str, rule: Sensitivity) -> Folded:
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []

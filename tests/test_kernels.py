@@ -59,6 +59,13 @@ def test_whole_words_and_astral_offsets():
     assert units.from_units(units.to_units("a😀b")) == "a😀b" and units.length16("a😀b") == 4
 
 
+@given(st.text(alphabet=st.sampled_from("aBé É\u0301 \n\t\u00ad\u200bßİςΣ😀漢\u3000Łx"), max_size=30), st.booleans(), st.booleans())
+def test_both_ways_of_folding_agree(text, case, diacritics):
+    rule = folding.Sensitivity(case, diacritics)
+    a, b = folding.fold(units.to_units(text), rule), folding._fold_by_characters(units.to_units(text), rule)
+    assert (a.text, list(a.starts), list(a.ends)) == (b.text, list(b.starts), list(b.ends))
+
+
 @given(st.text(max_size=40))
 def test_units_round_trip(text):
     clean = text.encode("utf-16", "ignore").decode("utf-16")

@@ -17,6 +17,8 @@ UTF-8 bytes; strings never cross texts.
 4. Neighbours in the order with a common seed form a group. In it, a place with l common bytes to
    the left and r to the right of some other place, l + r >= length, is covered from -l to +r; the
    largest such l and r of every place are found exactly.
+   A seed with more than MOST_SURROUNDINGS distinct surroundings is left out of the sort: every
+   window of `length` bytes around its places is hashed, counted and joined back instead.
 5. The answers, one per distinct suffix, are joined to the places, and the texts are cut.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; equal rows
@@ -46,6 +48,10 @@ SEED = 64
 #: Bytes of suffixes that a task sorts at once, and about as many that a range merges.
 RUN_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
+MOST_RANGES = 50_000
+#: Distinct surroundings of one seed that a task resolves; the places of a more crowded seed are
+#: compared by their windows, which are dealt by hash.
+MOST_SURROUNDINGS = 200_000
 
 
 def seed_of(length: int) -> int:
@@ -353,6 +359,41 @@ def _merge_ranges(length: int):
     return run
 
 
+def _surroundings(length: int):
+    """(h, c1, c2): the seed of each place and a digest of what is around it, once a batch."""
+    seed = seed_of(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int, int]] = set()
+            for _, text, places in _texts(batch):
+                at = np.array(places)
+                hashes = K.range_hashes(K.prefix_hashes(np.frombuffer(text, np.uint8)), at, at + seed).view(np.int64)
+                found |= {(h, *_digest(around(text, p, length))) for h, p in zip(hashes.tolist(), places, strict=True)}
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["h", "c1", "c2"])
+
+    return run
+
+
+def _windows(length: int):
+    """Texts with places of crowded seeds -> the digests of all windows that hold one, by start."""
+    before = length - seed_of(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, digests = [], [], []
+            for i, text, places in _texts(batch):
+                for a in sorted({a for p in places for a in range(max(0, p - before), min(p, len(text) - length) + 1)}):
+                    rows.append(i)
+                    starts.append(a)
+                    digests.append(_digest(text[a : a + length]))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64())], names=["c1", "c2", "id", "key", "a"])
+
+    return run
+
+
 def _places(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,28 +446,42 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     before = written()
     samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(_sample_rows(length), f"h bigint, id {id_type}, key bigint, pos bigint"), "samples")
     # Written, so that both sides of the join are plain exchanges and a hot seed can be split.
-    twice = cut(samples.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seeds")
-    by_text = samples.join(twice, "h").groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    twice = cut(samples.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "seeds")
+    by_text = samples.join(twice.select("h"), "h").groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     same = lambda x, y: x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
     joined = texts.join(by_text, same(texts, by_text), "left").select(texts["id"], texts["key"], texts["t"], "places")
     whole = F.col("places").isNull()
     split = joined.select("id", "key", F.octet_length("t").cast("long").alias("n_bytes"), F.when(whole, F.sha2("t", 256)).alias("sha"), F.when(~whole, F.col("t")).alias("t"), "places")
     passed = [x for x in written() if x not in before]
     split = cut(split, "texts")
-    forget(spark, passed)
     dirty = split.where("places is not null").select("id", "key", "t", "places")
 
+    by_window = None
+    perhaps = twice.where(F.col("n") > MOST_SURROUNDINGS).select("h")
+    if perhaps.limit(1).collect():
+        seen = dirty.mapInArrow(_surroundings(length), "h bigint, c1 bigint, c2 bigint").join(perhaps, "h").distinct()
+        crowded = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SURROUNDINGS).select("h"), "crowded")
+        own = samples.join(crowded, "h").groupBy("id", "key").agg(F.collect_set("pos").alias("crowd"))
+        parted = dirty.join(own, same(dirty, own), "left").select(dirty["id"], dirty["key"], "t", F.when(F.col("crowd").isNull(), F.col("places")).otherwise(F.array_except("places", "crowd")).alias("places"), "crowd")
+        dirty = cut(parted, "parted")
+        windows = dirty.where("crowd is not null").select("id", "key", "t", "crowd").mapInArrow(_windows(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, a bigint")
+        again = windows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+        by_window = cut(windows.join(again, ["c1", "c2"]).select("id", "key", F.struct("a", (F.col("a") + length).alias("b")).alias("s")), "windows")
+        dirty = dirty.select("id", "key", "t", "places")
+    forget(spark, passed)
+
     total = dirty.agg(F.sum(F.size("places"))).first()[0] or 0
     seed = seed_of(length)
-    ranges = max(1, min(total, total * (2 * length - seed) // RANGE_BYTES))
-    sample = sorted(r[0] for r in dirty.mapInArrow(_seeds(seed, max(1, total // 10_000)), "seed binary").collect())
+    ranges = max(1, min(total, MOST_RANGES, total * (2 * length - seed) // RANGE_BYTES))
+    sample = sorted(r[0] for r in dirty.mapInArrow(_seeds(seed, max(1, total // max(10_000, 4 * ranges))), "seed binary").collect())
     splitters = sorted({bytes(sample[len(sample) * i // ranges]) for i in range(1, ranges)}) if sample else []
     runs = dirty.mapInArrow(_runs(length, splitters), "range int, run bigint, seq int, shared int, rest binary, n bigint")
     runs = runs.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "run", "seq")
     answers = cut(runs.mapInArrow(_merge_ranges(length), "c1 bigint, c2 bigint, l bigint, r bigint"), "answers")
 
     places = dirty.mapInArrow(_places(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, pos bigint")
-    spans = places.join(answers, ["c1", "c2"]).groupBy("id", "key").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("spans"))
+    by_place = places.join(answers, ["c1", "c2"]).select("id", "key", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("s"))
+    spans = (by_place if by_window is None else by_place.union(by_window)).groupBy("id", "key").agg(F.collect_set("s").alias("spans"))
     done = dirty.select("id", "key", "t").join(spans, same(dirty, spans), "left").select(dirty["id"], dirty["key"], "t", "spans")
     kind = "string" if as_text else "binary"
     cut_texts = done.mapInArrow(partial(_cut_out, as_text=as_text), f"id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {kind}")

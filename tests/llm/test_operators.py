@@ -207,8 +207,9 @@ def test_segmentations_decode(spark, vocabulary):
 # --- 4 -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("length", [9, 40, 200])
-def test_repeats(spark, length):
+@pytest.mark.parametrize(("length", "most"), [(9, 200_000), (40, 200_000), (200, 200_000), (40, 2), (200, 3)])
+def test_repeats(spark, monkeypatch, length, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_SURROUNDINGS", most)
     rng = random.Random(length)
     rows, docs = odd_documents(spark, rng)
     passage = words(rng, 120)

@@ -74,6 +74,29 @@ def _firsts(dim: int, turn: np.ndarray, cuts: list[int]):
     return run
 
 
+def _deal(marks: list[np.ndarray], reach: list[float]):
+    """(id, n, v, at) -> (block, s, t, side, id, n, v): a row for each pair of tiles that it takes part
+    in, its own and one that holds values within reach; side 0 is the earlier tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _PIECE):
+                part = batch.slice(start, _PIECE)
+                at = np.array(part.column(3).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                for block, (m, r) in enumerate(zip(marks, reach, strict=True)):
+                    c = at[:, block]
+                    own, lo, hi = (np.searchsorted(m, x, "right") for x in (c, c - r, c + r))
+                    many = hi - lo + 1
+                    row = np.repeat(np.arange(part.num_rows), many)
+                    mate = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(row))
+                    mine = own[row]
+                    where = pa.array(row)
+                    cols = [np.full(len(row), block), np.minimum(mine, mate), np.maximum(mine, mate), mine > mate]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in cols), *(part.column(i).take(where) for i in range(3))], names=["block", "s", "t", "side", "id", "n", "v"])
+
+    return run
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray, up: np.ndarray) -> np.ndarray:
     """Least reachable index after joining i with j, from labels `up`."""
     while len(i):
@@ -172,23 +195,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         count = placed.count()
         tile = max(LEAST_TILE, min(MOST_TILE, count // 6))
         tiles = max(1, -(-count // tile))
-        reach = [((2 - 2 * least) * (b - a) / dim + 1e-6) ** 0.5 for a, b in edges]
+        reach = [((2 - 2 * least) * (b - a) / dim + 1e-6) ** 0.5 + 1e-9 for a, b in edges]
         marks = placed.select(*[F.col("at")[i].alias(f"c{i}") for i in range(blocks)]).approxQuantile([f"c{i}" for i in range(blocks)], [i / tiles for i in range(1, tiles)], 0.01) if tiles > 1 else [[]] * blocks
-        per_block = []
-        for i, (cut_at, r) in enumerate(zip(marks, reach, strict=True)):
-            at = F.col("at")[i]
-
-            def number(c, cut_at=cut_at):
-                return F.size(F.filter(F.array(*map(F.lit, cut_at)), lambda x: x <= c)) if cut_at else F.lit(0)
-
-            # Own tile, and the tiles that hold values within reach: as side 0 of later ones, side 1 of earlier ones.
-            mates = F.sequence(number(at - r), number(at + r))
-            per_block.append(placed.select("id", "n", "v", F.lit(i).alias("block"), number(at).alias("own"), F.explode(mates).alias("mate")))
-        dealt = per_block[0]
-        for more in per_block[1:]:
-            dealt = dealt.union(more)
+        dealt = placed.mapInArrow(_deal([np.array(m, np.float64) for m in marks], reach), "block int, s int, t int, side int, id bigint, n bigint, v binary")
         keys = ["block", "s", "t"]
-        dealt = dealt.select("block", F.least("own", "mate").alias("s"), F.greatest("own", "mate").alias("t"), (F.col("own") > F.col("mate")).cast("int").alias("side"), "id", "n", "v")
         width = shuffle_width(spark, count * dim * 8.0 * blocks * tiles)
         found = cut(dealt.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(_join(dim, turn, edges, least), "a bigint, b bigint, links bigint"), "links")
         links = found.groupBy("a").agg(F.sum("links").alias("links"))

@@ -225,3 +225,20 @@ def test_queries_agree_with_duckdb(spark, name):
 def test_queries_without_sql(spark):
     for name in set(queries.QUERIES) - set(queries.SQL):
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_locator_json(spark):
+    from quireflow.functions import locator as L
+
+    good = '{"href":"a.html","type":"text/html","x":1,"locations":{"progression":0.5,"position":3.0,"partialCfi":"/4","cssSelector":7,"fragments":["f"]},"text":{"highlight":"h"}}'
+    bad = ['{"href":"a#b","type":"text/html"}', '{"href":"a","type":"nope"}', '{"href":"a","type":"text/html","locations":{"position":1.5}}', '{"href":"a","type":"text/html","locations":{"progression":2}}', '{"href":"a","type":"text/html","text":{"after":1}}', "[]", "x", '{"href":"a","type":"text/html","title":4}']
+    df = spark.createDataFrame([(good,)] + [(b,) for b in bad], "j string").select("j", L.from_json(F.col("j")).alias("l"))
+    rows_ = df.select("l.*", L.partial_cfi(F.col("l.locations")).alias("c"), L.css_selector(F.col("l.locations")).alias("s")).drop("locations").collect()
+    assert (rows_[0].href, rows_[0].position, rows_[0].fragments, rows_[0].highlight, rows_[0].c, rows_[0].s, rows_[0].error) == ("a.html", 3, ["f"], "h", "/4", None, None)
+    assert [r.error for r in rows_[1:]] == ["href or type", "href or type", "position", "progression", "text", "json", "json", "title"]
+    back = df.limit(1).select(L.to_json(F.col("l").dropFields("locations").withField("partial_cfi", F.lit("/4"))).alias("j")).first().j
+    assert json.loads(back) == {"href": "a.html", "type": "text/html", "locations": {"fragments": ["f"], "progression": 0.5, "position": 3, "partialCfi": "/4"}, "text": {"highlight": "h"}}
+    link = spark.range(1).select(L.from_link(F.lit("a%20b.html#x%20y"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("T")).alias("l")).first().l
+    assert (link.href, link.type, link.title, link.fragments, link.progression) == ("a%20b.html", "application/octet-stream", "T", ["x y"], None)
+    assert spark.range(1).select(L.offset_at_progression(F.lit(0.5), F.lit(9))).first()[0] == 5
+    assert df.limit(1).select(L.is_empty(F.col("l")).alias("e"), L.copy_with(F.col("l"), title=F.lit("n"), position=F.lit(None).cast("int"))["title"].alias("t")).first() == (False, "n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch; a single longer row makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

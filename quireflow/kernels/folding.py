@@ -139,17 +139,22 @@ def _is_word(units: str, at: int) -> bool:
     return unicodedata.category(char)[0] in "LNM"
 
 
-def matches(query: str, units: str, rule: Sensitivity = Sensitivity(), whole_word: bool = False) -> Iterator[tuple[int, int]]:
-    """Source spans of the matches, left to right, none overlapping. A rejected whole-word hit lets
+def needle_of(query: str, rule: Sensitivity = Sensitivity()) -> str:
+    return fold(to_units(query), rule).text.strip()
+
+
+def find(needle: str, source: Folded, units: str, whole_word: bool = False) -> Iterator[tuple[int, int]]:
+    """Source spans of a folded needle, left to right, none overlapping. A rejected whole-word hit lets
     the search go on one unit further, an accepted one behind it."""
-    needle = fold(to_units(query), rule).text.strip()
-    if not needle:
-        return
-    source = fold(units, rule)
-    at = source.text.find(needle)
+    at = source.text.find(needle) if needle else -1
     while at >= 0:
         begin, end = source.starts[at], source.ends[at + len(needle) - 1]
         good = not whole_word or not (_is_word(units, begin - 1) or _is_word(units, end))
         if good:
             yield begin, end
         at = source.text.find(needle, at + (len(needle) if good else 1))
+
+
+def matches(query: str, units: str, rule: Sensitivity = Sensitivity(), whole_word: bool = False) -> Iterator[tuple[int, int]]:
+    """Source spans of the matches of a query."""
+    return find(needle_of(query, rule), fold(units, rule), units, whole_word)

@@ -24,20 +24,20 @@ def checked(max_results: int, context: int) -> None:
 
 def counts(blocks: DataFrame, query: str, text: str = "text", case: bool = False, diacritics: bool = False) -> DataFrame:
     """`blocks` with n, the matches in each: built-ins only, so it filters before anything else runs."""
-    needle = folding.fold(to_units(query), Sensitivity(case, diacritics)).text.strip()
+    needle = folding.needle_of(query, Sensitivity(case, diacritics))
     return blocks.withColumn("n", occurrences(fold(F.col(text), case, diacritics), F.lit(needle)))
 
 
 def word_counts(blocks: DataFrame, query: str, text: str = "text") -> DataFrame:
     """The same for whole words."""
-    return blocks.withColumn("n", whole_word(fold(F.col(text)), folding.fold(to_units(query)).text.strip()))
+    return blocks.withColumn("n", whole_word(fold(F.col(text)), folding.needle_of(query)))
 
 
 def hits(blocks: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", case: bool = False, diacritics: bool = False, whole: bool = False) -> DataFrame:
     """keys, query_id, query, start, end (UTF-16 units of the block's text) of every match.
 
     queries (query_id, query) are collected in passes of at most QUERY_BYTES, checked by a sum first; each
-    block is folded once a pass. Blocks without a folded query in them cost one containment test a query."""
+    block is folded once a pass, and then searched for each query."""
     rule = Sensitivity(case, diacritics)
     total = queries.agg(F.sum(F.octet_length("query"))).first()[0] or 0
     passes = max(1, -(-total // QUERY_BYTES))
@@ -46,19 +46,18 @@ def hits(blocks: DataFrame, queries: DataFrame, keys: list[str], text: str = "te
 
     def with_queries(asked: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            needles = [(i, q, n) for i, q in asked if (n := folding.fold(to_units(q), rule).text.strip())]
+            needles = [(i, q, n) for i, q in asked if (n := folding.needle_of(q, rule))]
             for batch in batches:
                 owner, out = [], []
                 for row, value in enumerate(batch.column(len(keys)).to_pylist()):
                     if not value:
                         continue
                     units = to_units(value)
-                    folded = folding.fold(units, rule).text
+                    folded = folding.fold(units, rule)
                     for i, q, n in needles:
-                        if n in folded:
-                            for a, b in folding.matches(q, units, rule, whole):
-                                owner.append(row)
-                                out.append((i, q, a, b))
+                        for a, b in folding.find(n, folded, units, whole):
+                            owner.append(row)
+                            out.append((i, q, a, b))
                 kept = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
                 types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))], names=[*keys, "query_id", "query", "start", "end"])
@@ -98,7 +97,7 @@ def index(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 def candidates(blocks: DataFrame, inverted: DataFrame, query: str, keys: list[str]) -> DataFrame:
     """Blocks that hold every inner word of a query, by semi-joins with the index: what lies between two
     spaces of the query is a whole word there too. A query without such words keeps all blocks."""
-    words = folding.fold(to_units(query)).text.strip().split(" ")[1:-1]
+    words = folding.needle_of(query).split(" ")[1:-1]
     out = blocks
     for word in words:
         if word.isalnum():

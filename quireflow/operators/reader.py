@@ -22,6 +22,13 @@ def decide(url: Column, session: Column, pending: Column) -> Column:
     return F.when(inside & (path == pending), "load").when(inside, "navigate").when(url.rlike("^https?://"), "external").otherwise("block")
 
 
+def url_for(base: Column, href: Column, fallback: Column | None = None) -> Column:
+    """Where a session shows a resource: its own href, or that of the fallback that stands for it (then
+    without the fragment, which belongs to the original)."""
+    own = href if fallback is None else F.coalesce(fallback, href)
+    return F.concat(base, own)
+
+
 def resource_for(urls: DataFrame, reading_order: DataFrame, resources: DataFrame) -> DataFrame:
     """urls (book, path) with href: of the reading order first, then of the resources."""
     own = lambda df, rank: df.select("book", resource_path(F.col("href")).alias("path"), "href", F.lit(rank).alias("rank"))

@@ -162,6 +162,24 @@ def locators_for(df: DataFrame, spans: str, context: int = 40, **options) -> Dat
     return map_documents(df, one, SPAN, _SPAN, argument=spans, **options)
 
 
+_FROM_CFI = pa.schema([("cfi", pa.string()), *_SPAN])
+
+
+def locators_for_cfis(df: DataFrame, cfis: str, context: int = 40, **options) -> DataFrame:
+    """Rows (keys, content, cfis array of content CFIs) -> one locator for each that resolves; a range gives
+    the text it spans as highlight, and an exact CFI is kept as it is."""
+
+    def one(d: reading.Document, wanted) -> list[dict]:
+        out = []
+        for text in wanted or ():
+            c = C.try_parse(text)
+            if c and (at := d.resolve(c)):
+                out.append({"cfi": text, **locating.build(d, at[0], at[1], c.first() if at[2] == "exact" else None, context)})
+        return out
+
+    return map_documents(df, one, f"cfi string, {SPAN}", _FROM_CFI, argument=cfis, **options)
+
+
 _LADDER = pa.schema([("n", pa.int32()), ("match", pa.string()), *_SPAN])
 
 

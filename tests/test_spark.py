@@ -88,6 +88,8 @@ def test_locators(spark, library):
     assert (r.match, r.highlight, r.partial_cfi) == ("cfi", "whale", "/4/4/1:4")
     spans = docs.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"))))
     assert extraction.locators_for(spans, "spans", keep=["book"]).first().highlight == "Call"
+    told = docs.withColumn("cfis", F.array(F.lit("/4/4,/1:4,/1:9"), F.lit("/4/4/1:5[zz]"), F.lit("/x")))
+    assert [(r.cfi, r.highlight, r.partial_cfi) for r in extraction.locators_for_cfis(told, "cfis", keep=["book"]).collect()] == [("/4/4,/1:4,/1:9", "whale", "/4/4/1:4")]
     points = docs.withColumn("offsets", F.array(F.lit(0), F.lit(8)))
     assert rows(extraction.cfis_at(points, "offsets", keep=["book"]), "offset", "cfi") == [(0, "/4/2/1:0"), (8, "/4/4/1:0")]
     back = extraction.resolve_cfis(docs.withColumn("cfis", F.array(F.lit("/4/4/1:0"), F.lit("/x"))), "cfis", keep=["book"])

@@ -6,6 +6,8 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +15,36 @@ from quireflow.llm import decontaminate, jaccard, pieces, quality, suffix_dedup
 from quireflow.llm._spark import forget, scratch, table, written
 
 
-def _begin(spark: SparkSession) -> None:
-    """What earlier stages wrote for themselves is not read any more: their results are tables."""
-    forget(spark, written())
+#: Scratch tables of the last stage that was called.
+_scratch: list[str] = []
+
+
+def _stage(apply):
+    """A stage that first deletes the scratch tables of the stage before: its result is a table by now."""
+
+    @wraps(apply)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _scratch)
+        before = written()
+        out = apply(spark, docs, sf_dir)
+        _scratch[:] = [path for path in written() if path not in before]
+        return out
+
+    return staged
 
 
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels outside the
     held-out third."""
-    _begin(spark)
     weights = quality.train(quality.sample(docs, table(spark, sf_dir, "labels")))
     return quality.score(docs, weights, name="_score").where("_score >= 0.5").drop("_score")
 
 
+@_stage
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word shingles at 0.8 or more: the one with the
     least id. Rows that repeat one id and text are one document; rows without an id stay."""
-    _begin(spark)
     found = jaccard.near_duplicates(docs, width=5, percent=80)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     joined = docs.join(kept, "doc_id")
@@ -37,10 +52,10 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.unionByName(docs.where("doc_id is null"))
 
 
+@_stage
 def repeat_remover(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 400 bytes that also start elsewhere. What is
     left of a character that was cut through goes too; n_chars is counted anew."""
-    _begin(spark)
     found = suffix_dedup.dedup(docs, as_text=True).where("kept is not null")
     changed = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_key"])
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["doc_id"])
@@ -50,15 +65,15 @@ def repeat_remover(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*docs.columns)
 
 
+@_stage
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    _begin(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def piece_sampler(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of every text that is left, with their inclusion scores."""
-    _begin(spark)
     sampled = pieces.sample(docs.select("doc_id", "text"), pieces.vocabulary(), k=2, with_ids=False)
     found = [F.col("samples")[name].alias(name) for name in ("n_pieces", "log_p", "log_inclusion", "ids_sha256")]
     return sampled.select("doc_id", "n_units", *found, "round_trip", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -155,7 +155,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     for block in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(needles([tuple(r) for r in part.collect()], width))
-        out = out.mapInArrow(_pass(shared, docs.columns.index(text), "found", "items", "n_words"), schema)
+        out = out.mapInArrow(K.lean(_pass(shared, docs.columns.index(text), "found", "items", "n_words")), schema)
         if block + 1 < blocks:
             out = cut(out, "decontaminate")
     return out

@@ -45,6 +45,8 @@ from ._spark import cut, forget, shuffle_width, small_batches, written
 SPACE = K.byte_table((0x09, 0x0D), (0x20, 0x20))
 #: Cells of the sketch (a power of two) and the parts that it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 16
+#: Sketches that one task sums.
+SKETCHES_A_TASK = 512
 #: Rows up to which a column's pairs are counted.
 MOST_ROWS = 64
 #: n-grams of a block that are multiplied in one task.
@@ -113,7 +115,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
             sums[part] = sums[part] + x if part in sums else x
     keys = sorted(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(np.minimum(sums[k], 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for k in keys], pa.binary())], names=["part", "counts"])
 
 
 def _rank_cells(load: float):
@@ -125,7 +127,7 @@ def _rank_cells(load: float):
         for batch in batches:
             out = []
             for counts in batch.column(1).to_pylist():
-                above = (np.frombuffer(counts, np.int64) - load) / spread
+                above = (np.frombuffer(zlib.decompress(counts), np.uint32) - load) / spread
                 out.append(np.clip(4 * np.log2(np.maximum(1.0, above)), 0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["part", "ranks"])
 
@@ -135,8 +137,12 @@ def _rank_cells(load: float):
 def column_ranks(described: DataFrame) -> np.ndarray:
     """A rank of 0 to 255 for each sketch cell by its share of all n-grams: 2**22 bytes whatever the
     input."""
-    parts = described.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part")
-    sums = cut(parts.mapInArrow(_sum_sketch, "part int, counts binary"), "sketch")
+    parts = described.where("part is not null").select("part", "counts")
+    salts = -(-parts.where("part = 0").count() // SKETCHES_A_TASK)
+    if salts > 1:  # many sketches are first summed in groups
+        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        parts = cut(salted.repartition(SKETCH_PARTS * salts, "part", "salt").select("part", "counts").mapInArrow(_sum_sketch, "part int, counts binary"), "sketches")
+    sums = cut(parts.repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch, "part int, counts binary"), "sketch")
     load = (described.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     ranks = dict(sums.mapInArrow(_rank_cells(load), "part int, ranks binary").collect())
     return np.frombuffer(b"".join(bytes(ranks[i]) for i in range(SKETCH_PARTS)), np.uint8) if ranks else np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -420,7 +426,7 @@ def _multiply(percent: int, width: int):
 def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes such that every linking pair is connected."""
     spark = ordered.sparkSession
-    found = cut(ordered.mapInArrow(_columns(percent, MOST_ROWS), "a bigint, b bigint, na bigint, nb bigint, overlap bigint, g bigint"), "columns")
+    found = cut(ordered.mapInArrow(K.lean(_columns(percent, MOST_ROWS)), "a bigint, b bigint, na bigint, nb bigint, overlap bigint, g bigint"), "columns")
     # The first and last columns of all partitions may go on in others: a few rows a partition.
     shared = found.where("g is not null").select("g", F.col("na").alias("n"), F.col("a").alias("c")).distinct()
     w = Window.partitionBy("g").orderBy("n", "c")
@@ -444,7 +450,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    described = cut(texts.mapInArrow(_describe(width), "id bigint, n bigint, d1 bigint, d2 bigint, part int, counts binary"), "described")
+    described = cut(texts.mapInArrow(K.lean(_describe(width)), "id bigint, n bigint, d1 bigint, d2 bigint, part int, counts binary"), "described")
     rows = described.where("part is null").select("id", "n", "d1", "d2")
     classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
     # Smaller sets link with equal sets only: one n-gram more is already below the share.
@@ -452,7 +458,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     before = written()
     ranks = spark.sparkContext.broadcast(column_ranks(described))
-    prefixes = cut(texts.select("t").mapInArrow(_prefixes(width, percent, least, ranks), "g bigint, n int, c bigint"), "prefixes")
+    prefixes = cut(texts.select("t").mapInArrow(K.lean(_prefixes(width, percent, least, ranks)), "g bigint, n int, c bigint"), "prefixes")
     width_of = shuffle_width(spark, 0)
     ordered = prefixes.repartitionByRange(width_of, "g", "n", "c").sortWithinPartitions("g", "n", "c")
     blocks = components(_candidates(ordered, percent))
@@ -470,7 +476,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = cut(one.groupBy("id", "d1", "d2", "block").agg(F.collect_list("w").alias("windows")), "members")
     bits = members.select("id").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
-    asked = texts.where("id is not null").mapInArrow(_flagged(shared), "id bigint, t string")
+    asked = texts.where("id is not null").mapInArrow(K.lean(_flagged(shared)), "id bigint, t string")
     whole = members.join(asked, "id").withColumn("w", F.explode("windows"))
     own = F.pmod(F.xxhash64("id"), F.col("w.parts")).cast("int")
     pairs = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)))
@@ -478,7 +484,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = ["block", "window", "i", "j"]
     tasks = tasks.repartition(width_of, *keys).sortWithinPartitions(*keys)
     passed = [x for x in written() if x not in before]
-    links = cut(tasks.mapInArrow(_multiply(percent, width), "a bigint, b bigint"), "links")
+    links = cut(tasks.mapInArrow(K.lean(_multiply(percent, width)), "a bigint, b bigint"), "links")
     forget(spark, passed)
 
     found = components(links)

@@ -109,7 +109,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", order:
     rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(order).cast("string")).alias("h"), F.col(order).alias("o"))
     few = rows.where("y is not null").repartition(1).sortWithinPartitions("h", "o", "t").select("t", "y")
     weights = np.zeros((1 << bits) + 1)
-    for batch in few.mapInArrow(fit, "at bigint, w double").toArrow().to_batches():
+    for batch in few.mapInArrow(K.lean(fit), "at bigint, w double").toArrow().to_batches():
         weights[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return weights
 
@@ -143,4 +143,4 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=[*batch.schema.names, name])
 
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema), f"`{name}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.lean(run), schema)

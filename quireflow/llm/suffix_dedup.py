@@ -96,8 +96,12 @@ def _sample_rows(length: int):
             for lo, _, bounds, data in K.slices(batch.column(2)):
                 places, hashes = sampled(bounds, data, length)
                 rows = np.searchsorted(bounds, places, "right") - 1
-                at = pa.array(rows + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(at), keys.take(at), pa.array(places - bounds[rows], pa.int64())], names=["h", "id", "key", "pos"])
+                order = np.lexsort((places, hashes, rows))  # the places of a text that share a seed: one row
+                rows, hashes, places = rows[order], hashes[order], (places - bounds[rows])[order]
+                new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])[: len(rows)])
+                at = pa.array(rows[new] + lo)
+                where = pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)), pa.int32()), pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), ids.take(at), keys.take(at), where], names=["h", "id", "key", "pos"])
 
     return run
 
@@ -395,15 +399,20 @@ def _windows(length: int):
 
 
 def _places(length: int):
+    """(c1, c2, id, key, pos): the places of a text that have equal surroundings, as one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, digests, where = [], [], []
             for i, text, places in _texts(batch):
-                rows += [i] * len(places)
-                where += places
-                digests += [_digest(around(text, p, length)) for p in places]
+                alike: dict[tuple[int, int], list[int]] = {}
+                for p in places:
+                    alike.setdefault(_digest(around(text, p, length)), []).append(p)
+                rows += [i] * len(alike)
+                digests += alike
+                where += alike.values()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(where, pa.int64())], names=["c1", "c2", "id", "key", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(where, pa.list_(pa.int64()))], names=["c1", "c2", "id", "key", "pos"])
 
     return run
 
@@ -444,10 +453,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     id_type = texts.schema["id"].dataType.simpleString()
 
     before = written()
-    samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(_sample_rows(length), f"h bigint, id {id_type}, key bigint, pos bigint"), "samples")
+    samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(K.lean(_sample_rows(length)), f"h bigint, id {id_type}, key bigint, pos array<bigint>"), "samples")
     # Written, so that both sides of the join are plain exchanges and a hot seed can be split.
-    twice = cut(samples.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "seeds")
-    by_text = samples.join(twice.select("h"), "h").groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    twice = cut(samples.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1"), "seeds")
+    by_text = samples.join(twice.select("h"), "h").groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("places"))
     same = lambda x, y: x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
     joined = texts.join(by_text, same(texts, by_text), "left").select(texts["id"], texts["key"], texts["t"], "places")
     whole = F.col("places").isNull()
@@ -461,12 +470,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     if perhaps.limit(1).collect():
         seen = dirty.mapInArrow(_surroundings(length), "h bigint, c1 bigint, c2 bigint").join(perhaps, "h").distinct()
         crowded = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SURROUNDINGS).select("h"), "crowded")
-        own = samples.join(crowded, "h").groupBy("id", "key").agg(F.collect_set("pos").alias("crowd"))
+        own = samples.join(crowded, "h").groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("crowd"))
         parted = dirty.join(own, same(dirty, own), "left").select(dirty["id"], dirty["key"], "t", F.when(F.col("crowd").isNull(), F.col("places")).otherwise(F.array_except("places", "crowd")).alias("places"), "crowd")
         dirty = cut(parted, "parted")
         windows = dirty.where("crowd is not null").select("id", "key", "t", "crowd").mapInArrow(_windows(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, a bigint")
         again = windows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
-        by_window = cut(windows.join(again, ["c1", "c2"]).select("id", "key", F.struct("a", (F.col("a") + length).alias("b")).alias("s")), "windows")
+        by_window = cut(windows.join(again, ["c1", "c2"]).select("id", "key", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("s")), "windows")
         dirty = dirty.select("id", "key", "t", "places")
     forget(spark, passed)
 
@@ -475,16 +484,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     ranges = max(1, min(total, MOST_RANGES, total * (2 * length - seed) // RANGE_BYTES))
     sample = sorted(r[0] for r in dirty.mapInArrow(_seeds(seed, max(1, total // max(10_000, 4 * ranges))), "seed binary").collect())
     splitters = sorted({bytes(sample[len(sample) * i // ranges]) for i in range(1, ranges)}) if sample else []
-    runs = dirty.mapInArrow(_runs(length, splitters), "range int, run bigint, seq int, shared int, rest binary, n bigint")
+    runs = dirty.mapInArrow(K.lean(_runs(length, splitters)), "range int, run bigint, seq int, shared int, rest binary, n bigint")
     runs = runs.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "run", "seq")
-    answers = cut(runs.mapInArrow(_merge_ranges(length), "c1 bigint, c2 bigint, l bigint, r bigint"), "answers")
+    answers = cut(runs.mapInArrow(K.lean(_merge_ranges(length)), "c1 bigint, c2 bigint, l bigint, r bigint"), "answers")
 
-    places = dirty.mapInArrow(_places(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, pos bigint")
-    by_place = places.join(answers, ["c1", "c2"]).select("id", "key", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("s"))
-    spans = (by_place if by_window is None else by_place.union(by_window)).groupBy("id", "key").agg(F.collect_set("s").alias("spans"))
+    places = dirty.mapInArrow(K.lean(_places(length)), f"c1 bigint, c2 bigint, id {id_type}, key bigint, pos array<bigint>")
+    by_place = places.join(answers, ["c1", "c2"]).select("id", "key", F.transform("pos", lambda p: F.struct((p - F.col("l")).alias("a"), (p + F.col("r")).alias("b"))).alias("s"))
+    spans = (by_place if by_window is None else by_place.union(by_window)).groupBy("id", "key").agg(F.flatten(F.collect_list("s")).alias("spans"))
     done = dirty.select("id", "key", "t").join(spans, same(dirty, spans), "left").select(dirty["id"], dirty["key"], "t", "spans")
     kind = "string" if as_text else "binary"
-    cut_texts = done.mapInArrow(partial(_cut_out, as_text=as_text), f"id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {kind}")
+    cut_texts = done.mapInArrow(K.lean(partial(_cut_out, as_text=as_text)), f"id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {kind}")
     untouched = split.where("places is null").select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("kept"), "n_bytes")
     out = untouched.unionByName(cut_texts.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
     return out.select(F.col("id").alias(doc_id), "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

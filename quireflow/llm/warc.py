@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from ._spark import cut, small_batches
 
 ROLL_BYTES = 64 << 20
-#: Uncompressed bytes of a shard.
-SHARD_BYTES = 128 << 20
+#: Uncompressed bytes of a shard at least, and shards at most (then shards are larger).
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 _ROWS = "key bigint, uri string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -169,6 +169,7 @@ def _shard_of(small: DataFrame, key: str, weight: str, shard_bytes: int) -> tupl
     """(block -> shard) rows, the least key, a block's width, and the number of shards. There are
     at most eight blocks a shard (4096 at least), whatever the number of records."""
     low, high, total = small.agg(F.min(key), F.max(key), F.sum(weight)).first()
+    shard_bytes = max(shard_bytes, (total or 0) // MOST_SHARDS)
     shards = max(1, -(-(total or 0) // shard_bytes))
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // max(4096, 8 * shards)))

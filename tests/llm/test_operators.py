@@ -249,6 +249,7 @@ def test_merge_never_loses_order_or_prefixes():
 @pytest.mark.parametrize(("width", "percent", "cells", "most"), [(3, 90, 1 << 20, 64), (2, 60, 60, 64), (1, 50, 1 << 20, 2), (2, 80, 40, 1)])
 def test_jaccard(spark, monkeypatch, width, percent, cells, most):
     monkeypatch.setattr(jaccard, "MOST_ROWS", most)
+    monkeypatch.setattr(jaccard, "SKETCHES_A_TASK", most)
     rng = random.Random(percent)
     rows, _ = odd_documents(spark, rng)
     family = words(rng, 50).split()

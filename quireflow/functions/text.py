@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 
 from ..kernels import folding
 
-_ASTRAL = r"[^\x{10000}-\x{10FFFF}]"
-
 
 def len16(text: Column) -> Column:
     """Length in UTF-16 units."""
-    return (F.length(text) + F.length(F.regexp_replace(text, _ASTRAL, ""))).cast("int")
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def to_units16(text: Column, code_points: Column) -> Column:

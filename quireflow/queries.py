@@ -134,13 +134,25 @@ def search_whole_word(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LINES} SELECT item_id AS query_id, doc_id, block, CAST(instr(l.text, b.text) - 1 AS INTEGER) AS start, CAST(instr(l.text, b.text) - 1 + length(b.text) AS INTEGER) AS \"end\" FROM lines l JOIN (SELECT item_id, trim(text) AS text FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%') b ON contains(l.text, b.text)")
 def search_first_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where benchmark items stand in lines: their first hits (case and marks must match here, as in the
-    oracle)."""
+    """Where benchmark items of one line stand in lines: their first hits (case and marks must match here, as
+    in the oracle). search_items has all items, in whole texts."""
     items = table(spark, d, "benchmark").where("not contains(text, '\n')").select(F.col("item_id").alias("query_id"), F.trim("text").alias("query"))
     found = search.hits(T.lines(spark, d), items, ["doc_id", "block"], case=True, diacritics=True)
     return found.groupBy("query_id", "doc_id", "block").agg(F.min("start").alias("start"), F.min("end").alias("end"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query()
+def search_items(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items, also those of several lines, in whole document texts: every hit. Runs of white
+    space are one space, case and marks must match."""
+    found = search.hits(table(spark, d, "documents").select("doc_id", "text"), _items(spark, d), ["doc_id"], case=True, diacritics=True)
+    return found.select("query_id", "doc_id", "start", "end")
+
+
 _WORDS = ("of the", "ing the", "with that")
 _HITS = f"""{_LINES}, q(query_id, needle) AS (VALUES (0::BIGINT, 'of the'), (1::BIGINT, 'ing the'), (2::BIGINT, 'with that')),
 f AS (SELECT doc_id, block, {_FOLD.format(c='text')} AS f FROM lines),

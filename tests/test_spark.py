@@ -1,4 +1,5 @@
 import json
+import re
 
 import duckdb
 import pytest
@@ -244,3 +245,16 @@ def test_locator_json(spark):
     assert (link.href, link.type, link.title, link.fragments, link.progression) == ("a%20b.html", "application/octet-stream", "T", ["x y"], None)
     assert spark.range(1).select(L.offset_at_progression(F.lit(0.5), F.lit(9))).first()[0] == 5
     assert df.limit(1).select(L.is_empty(F.col("l")).alias("e"), L.copy_with(F.col("l"), title=F.lit("n"), position=F.lit(None).cast("int"))["title"].alias("t")).first() == (False, "n")
+
+
+def found_by_brute_force(folder=SF.replace("sf0.001", "sf0.01")):
+    """(item_id, doc_id, start, end) of benchmark items in document texts, white space as the item has it or not."""
+    con = duckdb.connect()
+    docs, items = (con.sql(f"SELECT * FROM (SELECT {k}, text FROM read_parquet('{folder}/{t}.parquet'))").fetchall() for k, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    wanted = [(i, re.compile(r"\s+".join(map(re.escape, t.split())))) for i, t in items]
+    return sorted((i, k, *m.span()) for k, t in docs for i, r in wanted for m in r.finditer(t))
+
+
+def test_all_items_are_found_in_whole_texts(spark):
+    want = found_by_brute_force()
+    assert len(want) == 26 and rows(queries.QUERIES["search_items"](spark, SF.replace("sf0.001", "sf0.01")), "query_id", "doc_id", "start", "end") == want

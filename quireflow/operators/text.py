@@ -5,6 +5,7 @@ A document that can't be read gives a row with an error instead of failing the j
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import cfi as C
-from ..kernels import locating, reading
+from ..kernels import folding, locating, reading
 from ..kernels.errors import ERROR, BookError
+from ..kernels.folding import Sensitivity
 from ..kernels.units import from_units
 
 BLOCK = "struct<start:int,end:int,kind:string,heading_level:int,list_depth:int,quote_depth:int,language:string,text:string>"
@@ -76,9 +78,9 @@ def block_at(offsets: DataFrame, blocks_df: DataFrame, keys: list[str]) -> DataF
     return last.select(*keys, "offset", F.coalesce("inside", F.when(F.col("offset") == F.col("limit"), F.col("final"))).alias("block"))
 
 
-def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: str = "content", media_type: str = "media_type", path: str = "path", keep: list[str] | None = None, argument: str | None = None) -> DataFrame:
+def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: str = "content", media_type: str = "media_type", path: str = "path", keep: list[str] | None = None, argument: str | None = None, failfast: bool = False) -> DataFrame:
     """Rows that `one(document, argument)` gives for each readable document, beside columns `keep`.
-    The document is parsed once however much is asked of it."""
+    The document is parsed once however much is asked of it. failfast=True raises where one can't be read."""
     names = keep if keep is not None else [c for c in df.columns if c not in (content, argument)]
     source = df.select(*names, F.col(content).alias("_content"), F.col(media_type).alias("_type"), F.col(path).cast("string").alias("_path"), *([F.col(argument).alias("_argument")] if argument else []))
     at = len(names)
@@ -93,6 +95,8 @@ def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: st
                 try:
                     found = one(_read(content, kind, where, {}), batch.column(at + 3)[i].as_py() if argument else None)
                 except BookError:
+                    if failfast:
+                        raise
                     continue
                 owner += [i] * len(found)
                 rows += found
@@ -162,6 +166,27 @@ def locators_for(df: DataFrame, spans: str, context: int = 40, **options) -> Dat
     return map_documents(df, one, SPAN, _SPAN, argument=spans, **options)
 
 
+_MATCHED = pa.schema([("query_id", pa.int64()), ("hit_start", pa.int32()), ("hit_end", pa.int32()), ("fragment", pa.string()), *_SPAN])
+
+
+def locators_for_queries(df: DataFrame, queries: str, case: bool = False, diacritics: bool = False, context: int = 40, **options) -> DataFrame:
+    """Rows (keys, content, queries array<struct<query_id,query>>) -> one locator a match of each query in the
+    document's reading text, with the id of the last element that starts no later."""
+    rule = Sensitivity(case, diacritics)
+
+    def one(d: reading.Document, wanted) -> list[dict]:
+        out = []
+        folded = folding.fold(d.text, rule)
+        ids = sorted((d.start[e], name) for name, e in d.ids.items())
+        for q in wanted or ():
+            for a, b in folding.find(folding.needle_of(q["query"], rule), folded, d.text):
+                k = bisect_right(ids, a, key=lambda x: x[0])
+                out.append({"query_id": q["query_id"], "hit_start": a, "hit_end": b, "fragment": ids[k - 1][1] if k else None, **locating.build(d, a, b, context=context)})
+        return out
+
+    return map_documents(df, one, f"query_id bigint, hit_start int, hit_end int, fragment string, {SPAN}", _MATCHED, argument=queries, **options)
+
+
 _FROM_CFI = pa.schema([("cfi", pa.string()), *_SPAN])
 
 

@@ -5,7 +5,7 @@ SQL has no entry where a query can't be said in it; those queries are held again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cfi, media, text, uri, values
@@ -386,7 +386,8 @@ def page_list_items(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT b.item_id, d.doc_id, d.n_chars, instr(replace(d.text, chr(10), ' '), replace(b.text, chr(10), ' ')) AS hit FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)""")
 def resolve_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as stored highlights with progression 0.5 in the documents of their residue: found
-    by text (the first occurrence), else by progression."""
+    by text (the first occurrence), else by progression. A sample of the pairs by built-ins, for the oracle;
+    resolve_locations has all of them, by the operator."""
     b = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("highlight"), (F.col("item_id") % 40).alias("r"))
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.replace("text", F.lit("\n"), F.lit(" ")).alias("flat"), (F.col("doc_id") % 40).alias("r"))
     j = docs.join(b, "r")
@@ -394,6 +395,41 @@ def resolve_ladder(spark: SparkSession, d: str) -> DataFrame:
     return j.select("item_id", "doc_id", F.when(at > 0, "text").otherwise("progression").alias("match"), F.when(at > 0, at - 1).otherwise(F.floor(F.col("n_chars") * 0.5 + 0.5)).cast("long").alias("start"))
 
 
+_STORED = "array<struct<fragments:array<string>,progression:double,position:int,offset_of_position:int,partial_cfi:string,before:string,highlight:string,after:string>>"
+#: What the stored locators of resolve_locations carry, and the rung that each asks for.
+_RUNGS = ("cfi", "text", "stale", "fragment", "progression", "position", "start")
+
+
+@query()
+def resolve_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item in every document that holds it, as stored locators resolved by the ladder: with
+    all fields, with text but no CFI, with a CFI whose text is gone, and from the fragment, the progression or
+    the position down, to none. Documents are read as pages with a paragraph a line, equal rows once."""
+    documents = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw"), "text")
+    found = search.hits(documents, _items(spark, d), ["doc_id", "raw"], case=True, diacritics=True)
+    held = found.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("query_id", "query")).alias("items"))
+    paragraphs = F.transform(F.split("raw", "\n"), lambda line, i: F.concat(F.lit('<p id="l'), i.cast("string"), F.lit('">'), text.escape_html(line), F.lit("</p>")))
+    content = F.concat(F.lit("<html><body>"), F.array_join(paragraphs, ""), F.lit("</body></html>"))
+    pages = held.select("doc_id", F.lit("text/html").alias("media_type"), F.col("doc_id").cast("string").alias("path"), content.alias("content"), content.alias("page"), "items")
+    keys = ["doc_id", "media_type", "path", "content"]
+    made = extraction.locators_for_queries(pages, "items", case=True, diacritics=True, content="page", keep=keys, failfast=True)
+    page = F.floor(F.col("hit_start") / positions.WIDTH).cast("int")
+    none = {"fragments": "array<string>", "progression": "double", "position": "int", "offset_of_position": "int", "partial_cfi": "string", "before": "string", "highlight": "string", "after": "string"}
+
+    def stored(**fields) -> Column:
+        return F.struct(*[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in none.items()])
+
+    progression, cfi_, seen = F.col("progression"), F.col("partial_cfi"), {k: F.col(k) for k in ("before", "highlight", "after")}
+    paragraph, place = F.array("fragment"), {"position": page + 1, "offset_of_position": page * positions.WIDTH}
+    ladder = [
+        stored(fragments=paragraph, progression=progression, partial_cfi=cfi_, **place, **seen), stored(fragments=paragraph, progression=progression, **place, **seen), stored(fragments=paragraph, progression=progression, partial_cfi=cfi_, highlight=F.lit("\uffff"), **place),
+        stored(fragments=paragraph, progression=progression, **place), stored(progression=progression, **place), stored(**place), stored(),
+    ]
+    asked = made.select(*keys, F.col("query_id").alias("item_id"), "hit_start", "hit_end", F.array(*ladder).cast(_STORED).alias("stored"))
+    out = extraction.resolve_locators(asked, "stored", keep=["item_id", "doc_id", "hit_start", "hit_end"], failfast=True)
+    return out.select("item_id", "doc_id", "hit_start", "hit_end", F.element_at(F.array(*map(F.lit, _RUNGS)), F.col("n") + 1).alias("stored"), "match", "start", "end", "highlight")
+
+
 @query("SELECT * FROM (VALUES (0, '/2'), (1, '/4'), (2, '/4/2'), (3, '/4/2/1:0'), (4, '/4/2/1:3'), (5, '/4/2/2'), (6, '/4/2~1.5'), (7, '/4/2!/2'), (8, '/10')) t(rank, expression)")
 def cfi_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

@@ -258,3 +258,21 @@ def found_by_brute_force(folder=SF.replace("sf0.001", "sf0.01")):
 def test_all_items_are_found_in_whole_texts(spark):
     want = found_by_brute_force()
     assert len(want) == 26 and rows(queries.QUERIES["search_items"](spark, SF.replace("sf0.001", "sf0.01")), "query_id", "doc_id", "start", "end") == want
+
+
+def test_every_item_in_its_documents_goes_down_the_ladder(spark):
+    folder = SF.replace("sf0.001", "sf0.01")
+    raw = dict(duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{folder}/documents.parquet')").fetchall())
+    items = dict(duckdb.sql(f"SELECT item_id, text FROM read_parquet('{folder}/benchmark.parquet')").fetchall())
+    want = []
+    for item, doc in {x[:2] for x in found_by_brute_force()}:
+        lines = [x for line in raw[doc].split("\n") if (x := " ".join(line.split()))]
+        read = "\n".join(lines)
+        begins = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+        for m in re.finditer(r"\s+".join(map(re.escape, items[item].split())), read):
+            a, b = m.span()
+            want += [(item, doc, a, "cfi", "cfi", a, b, m[0]), (item, doc, a, "text", "text", a, b, m[0]), (item, doc, a, "stale", "cfi", a, a, None)]
+            want += [(item, doc, a, "fragment", "fragment", at := max(x for x in begins if x <= a), at, None), (item, doc, a, "progression", "progression", a, a, None)]
+            want += [(item, doc, a, "position", "position", a // 1024 * 1024, a // 1024 * 1024, None), (item, doc, a, "start", "start", 0, 0, None)]
+    got = queries.QUERIES["resolve_locations"](spark, folder).select("item_id", "doc_id", "hit_start", "stored", "match", "start", "end", "highlight").collect()
+    assert len(want) == 26 * 7 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

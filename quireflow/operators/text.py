@@ -78,9 +78,10 @@ def block_at(offsets: DataFrame, blocks_df: DataFrame, keys: list[str]) -> DataF
     return last.select(*keys, "offset", F.coalesce("inside", F.when(F.col("offset") == F.col("limit"), F.col("final"))).alias("block"))
 
 
-def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: str = "content", media_type: str = "media_type", path: str = "path", keep: list[str] | None = None, argument: str | None = None, failfast: bool = False) -> DataFrame:
+def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: str = "content", media_type: str = "media_type", path: str = "path", keep: list[str] | None = None, argument: str | None = None, failfast: bool = False, unread: tuple[dict, ...] = ()) -> DataFrame:
     """Rows that `one(document, argument)` gives for each readable document, beside columns `keep`.
-    The document is parsed once however much is asked of it. failfast=True raises where one can't be read."""
+    The document is parsed once however much is asked of it. A document that can't be read
+    gives the rows `unread`; failfast=True raises."""
     names = keep if keep is not None else [c for c in df.columns if c not in (content, argument)]
     source = df.select(*names, F.col(content).alias("_content"), F.col(media_type).alias("_type"), F.col(path).cast("string").alias("_path"), *([F.col(argument).alias("_argument")] if argument else []))
     at = len(names)
@@ -90,14 +91,16 @@ def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: st
             owner, rows = [], []
             for i in range(batch.num_rows):
                 content, kind, where = (batch.column(at + k)[i].as_py() for k in range(3))
-                if content is None or kind not in reading.TEXT_TYPES:
+                if kind not in reading.TEXT_TYPES:
                     continue
                 try:
+                    if content is None:
+                        raise BookError("content", "the document is missing", where)
                     found = one(_read(content, kind, where, {}), batch.column(at + 3)[i].as_py() if argument else None)
                 except BookError:
                     if failfast:
                         raise
-                    continue
+                    found = unread
                 owner += [i] * len(found)
                 rows += found
             kept = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(at)]
@@ -110,7 +113,8 @@ _SAMPLE = pa.schema([("offset", pa.int32()), ("cfi", pa.string()), ("back", pa.i
 
 
 def cfi_samples(df: DataFrame, stride: int = 50, span: int = 9, **options) -> DataFrame:
-    """Every stride-th offset as a point and a short range, and where they resolve to again."""
+    """Every stride-th offset as a point and a short range, and where they resolve to again. A document that
+    can't be read gives one row of nulls."""
 
     def one(d: reading.Document, _) -> list[dict]:
         out = []
@@ -121,7 +125,7 @@ def cfi_samples(df: DataFrame, stride: int = 50, span: int = 9, **options) -> Da
             out.append({"offset": o, "cfi": str(point), "back": a and a[0], "range_cfi": str(range_), "range_start": b and b[0], "range_end": b and b[1], "match": a and a[2]})
         return out
 
-    return map_documents(df, one, "offset int, cfi string, back int, range_cfi string, range_start int, range_end int, match string", _SAMPLE, **options)
+    return map_documents(df, one, "offset int, cfi string, back int, range_cfi string, range_start int, range_end int, match string", _SAMPLE, unread=(dict.fromkeys(_SAMPLE.names),), **options)
 
 
 _POINTS = pa.schema([("offset", pa.int32()), ("cfi", pa.string())])

@@ -361,9 +361,10 @@ def page_text_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 0 AS wrong")
 def cfi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every 50th offset of every page goes to a CFI and back; a point between blocks snaps to the
-    next text. Pages whose samples differ otherwise: none."""
+    next text. Samples that differ otherwise or lead nowhere, and pages that can't be read: none."""
     found = extraction.cfi_samples(T.pages(spark, d), keep=["page_id"])
-    return found.agg(F.count_if((F.col("match") != "exact") | (F.abs(F.col("back") - F.col("offset")) > 1) | (F.col("range_start") > F.col("range_end"))).cast("int").alias("wrong"))
+    differs = (F.col("match") != "exact") | (F.abs(F.col("back") - F.col("offset")) > 1) | (F.col("range_start") > F.col("range_end"))
+    return found.agg(F.count_if(F.coalesce(differs, F.lit(True))).cast("int").alias("wrong"))
 
 
 @query()

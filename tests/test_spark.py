@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow import queries
 from quireflow.functions import cfi, text, uri, values
+from quireflow.kernels.markup import MAX_DEPTH
 from quireflow.operators import conformance, positions, publication, reader, search, titles
 from quireflow.operators import text as extraction
 from quireflow.operators.running import last_before, numbered, running_sum
@@ -276,3 +277,13 @@ def test_every_item_in_its_documents_goes_down_the_ladder(spark):
             want += [(item, doc, a, "position", "position", a // 1024 * 1024, a // 1024 * 1024, None), (item, doc, a, "start", "start", 0, 0, None)]
     got = queries.QUERIES["resolve_locations"](spark, folder).select("item_id", "doc_id", "hit_start", "stored", "match", "start", "end", "highlight").collect()
     assert len(want) == 26 * 7 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_cfi_roundtrip_counts_what_leads_nowhere(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://x/a", "<p>plain text</p>"), (2, "http://x/b", None), (3, "http://x/c", "<p>deep"), (4, "http://x/d", "<div>" * (MAX_DEPTH + 9))], "page_id bigint, url string, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    count = lambda: queries.QUERIES["cfi_roundtrip"](spark, f"file://{tmp_path}").first().wrong
+    assert count() == 2
+    lost = spark.createDataFrame([(1, 0, None, None, None, None), (1, 0, "exact", 0, 0, 1)], "page_id bigint, offset int, match string, back int, range_start int, range_end int")
+    monkeypatch.setattr(extraction, "cfi_samples", lambda *a, **b: lost)
+    assert count() == 1

@@ -108,17 +108,22 @@ def respond(requests: DataFrame, resources: DataFrame, token: str) -> DataFrame:
 
 
 def prepared(documents: DataFrame, settings: P.Settings = P.Settings(), content: str = "content", max_bytes: int = 8 << 20) -> DataFrame:
-    """documents (book, path, media_type, fixed, content) ready to be shown, or with an error. Other types and
-    documents past the limit are filtered before Python sees them."""
-    shown = documents.where(F.col("media_type").isin("application/xhtml+xml", "text/html", "image/svg+xml") & (F.octet_length(content) <= max_bytes))
-    source = shown.select("book", "path", "media_type", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.col(content).cast("binary").alias("content"))
+    """documents (book, path, media_type, fixed, content) ready to be shown, or with an error. Other types are
+    filtered before Python sees them, and so is the content of documents past the limit."""
+    shown = documents.where(F.col("media_type").isin("application/xhtml+xml", "text/html", "image/svg+xml"))
+    size = F.octet_length(content)
+    error = F.when(size.isNull(), F.lit("content: the document is missing")).when(size > max_bytes, F.lit("content: the document is too large"))
+    source = shown.select("book", "path", "media_type", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.when(error.isNull(), F.col(content).cast("binary")).alias("content"), error.alias("refused"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for path, kind, fixed, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            for path, kind, fixed, data, refused in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
+                if refused:
+                    out.append((None, refused))
+                    continue
                 try:
-                    out.append((P.prepare(data or b"", kind, str(path), settings, fixed), None))
+                    out.append((P.prepare(data, kind, str(path), settings, fixed), None))
                 except BookError as error:
                     out.append((None, f"{error.kind}: {error.message}"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["book", "path", "media_type", "html", "error"])

@@ -287,3 +287,11 @@ def test_cfi_roundtrip_counts_what_leads_nowhere(spark, tmp_path, monkeypatch):
     lost = spark.createDataFrame([(1, 0, None, None, None, None), (1, 0, "exact", 0, 0, 1)], "page_id bigint, offset int, match string, back int, range_start int, range_end int")
     monkeypatch.setattr(extraction, "cfi_samples", lambda *a, **b: lost)
     assert count() == 1
+
+
+def test_prepared_pages_answer_for_every_page(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://x/a", "<p>a</p>"), (2, "http://x/b", None), (3, "http://x/c", "<p>" + "c" * (8 << 20)), (4, "http://x/d", "")], "page_id bigint, url string, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r.path: r for r in queries.QUERIES["prepared_pages"](spark, f"file://{tmp_path}").collect()}
+    assert sorted(got) == ["1", "2", "3", "4"] and got["1"].error is None and got["1"].chars > 0 and got["4"].error is None
+    assert (got["2"].chars, got["2"].error, got["3"].chars, got["3"].error) == (None, "content: the document is missing", None, "content: the document is too large")

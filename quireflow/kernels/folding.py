@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
-from .units import is_high, is_low, to_units
+from .units import from_units, to_units
 
 # The character classes of the folding rules, as inclusive ranges of code points.
 SPACES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
@@ -87,56 +87,46 @@ def _plain_table(rule: Sensitivity) -> tuple[dict[int, str], re.Pattern]:
     return table, re.compile(f"[{''.join(odd)}]|{spaces}{{2}}")
 
 
+#: A run of spaces (what is ignored inside goes with it), what is ignored elsewhere, or one character.
+_SPAN = re.compile(f"(?P<gap>{_space.pattern}(?:{_ignored.pattern}*{_space.pattern})*)|(?P<nothing>{_ignored.pattern}+)|[\ud800-\udbff][\udc00-\udfff]|.", re.DOTALL)
+
+
+@cache
+def _form(span: str, rule: Sensitivity) -> str:
+    """What the units of one character fold to, in units."""
+    return to_units(_fold_char(from_units(span) if len(span) > 1 else span, rule) or "")
+
+
+def _by_spans(units: str, rule: Sensitivity) -> Folded:
+    """Any text: cut into spans, each of which gives some units. One that gives none (a mark) lengthens
+    the span before it."""
+    forms, spans = [], []
+    for m in _SPAN.finditer(units):
+        form = " " if m["gap"] else "" if m["nothing"] else _form(m[0], rule)
+        if form:
+            forms.append(form)
+            spans.append(m.span())
+        elif spans and not m["nothing"]:
+            spans[-1] = spans[-1][0], m.end()
+    spread = [span for form, span in zip(forms, spans, strict=True) for _ in form]
+    return Folded("".join(forms), [a for a, _ in spread], [b for _, b in spread])
+
+
 def fold(units: str, rule: Sensitivity = Sensitivity()) -> Folded:
     table, odd = _plain_table(rule)
-    if not odd.search(units):  # the usual text: unit for unit
-        return Folded(units.translate(table), range(len(units)), range(1, len(units) + 1))
-    return _fold_by_characters(units, rule)
-
-
-def _fold_by_characters(units: str, rule: Sensitivity) -> Folded:
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at, n, in_space = 0, len(units), False
-    while at < n:
-        begin, char = at, units[at]
-        at += 1
-        if is_high(char) and at < n and is_low(units[at]):
-            char = chr(0x10000 + ((ord(char) - 0xD800) << 10) + ord(units[at]) - 0xDC00)
-            at += 1
-        if _ignored.match(char):
-            continue
-        folded = _fold_char(char, rule)
-        if folded is None:
-            if in_space:
-                ends[-1] = at
-            else:
-                out.append(" ")
-                starts.append(begin)
-                ends.append(at)
-            in_space = True
-            continue
-        in_space = False
-        wide = to_units(folded)
-        if not wide and ends:
-            ends[-1] = at
-        elif wide:
-            out.append(wide)
-            starts += [begin] * len(wide)
-            ends += [at] * len(wide)
-    return Folded("".join(out), starts, ends)
-
-
-def _is_word(units: str, at: int) -> bool:
-    """Whether the character that holds unit `at` is a letter, number or mark."""
-    if not 0 <= at < len(units):
-        return False
-    if is_low(units[at]) and at and is_high(units[at - 1]):
-        at -= 1
-    pair = units[at : at + 2] if is_high(units[at]) else units[at]
-    char = pair if len(pair) == 1 else chr(0x10000 + ((ord(pair[0]) - 0xD800) << 10) + (ord(pair[1]) & 0x3FF))
-    return unicodedata.category(char)[0] in "LNM"
+    if odd.search(units):
+        return _by_spans(units, rule)
+    # The usual text: unit for unit.
+    return Folded(units.translate(table), range(len(units)), range(1, len(units) + 1))
+
+
+def _part_of_word(char: str) -> bool:
+    return char != "" and unicodedata.category(char)[0] in "LNM"
+
+
+def stands_alone(units: str, begin: int, end: int) -> bool:
+    """Whether no letter, number or mark touches a span of units."""
+    return not _part_of_word(from_units(units[max(0, begin - 2) : begin])[-1:]) and not _part_of_word(from_units(units[end : end + 2])[:1])
 
 
 def needle_of(query: str, rule: Sensitivity = Sensitivity()) -> str:
@@ -144,15 +134,16 @@ def needle_of(query: str, rule: Sensitivity = Sensitivity()) -> str:
 
 
 def find(needle: str, source: Folded, units: str, whole_word: bool = False) -> Iterator[tuple[int, int]]:
-    """Source spans of a folded needle, left to right, none overlapping. A rejected whole-word hit lets
-    the search go on one unit further, an accepted one behind it."""
-    at = source.text.find(needle) if needle else -1
-    while at >= 0:
-        begin, end = source.starts[at], source.ends[at + len(needle) - 1]
-        good = not whole_word or not (_is_word(units, begin - 1) or _is_word(units, end))
-        if good:
+    """Source spans of a folded needle, left to right, none overlapping. Of whole words, one that is
+    refused keeps none from those that overlap it."""
+    if not needle:
+        return
+    free, literal = 0, re.escape(needle)
+    for m in re.finditer(f"(?={literal})" if whole_word else literal, source.text):
+        begin, end = source.starts[m.start()], source.ends[m.start() + len(needle) - 1]
+        if m.start() >= free and (not whole_word or stands_alone(units, begin, end)):
+            free = m.start() + len(needle)
             yield begin, end
-        at = source.text.find(needle, at + (len(needle) if good else 1))
 
 
 def matches(query: str, units: str, rule: Sensitivity = Sensitivity(), whole_word: bool = False) -> Iterator[tuple[int, int]]:

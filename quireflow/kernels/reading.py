@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import islice
 
 from . import cfi as C
 from .errors import BookError
@@ -215,6 +216,22 @@ MATCHES = ("exact", "corrected", "approximate")
 MOST_OCCURRENCES = 10_000
 
 
+def nearest(haystack: str, needle: str, lead: int, point: int) -> int | None:
+    """Of the first occurrences of needle, overlapping ones too, the one that is nearest to point when
+    shifted by lead; the first of ties."""
+    places = (m.start() + lead for m in islice(re.finditer(f"(?={re.escape(needle)})", haystack), MOST_OCCURRENCES))
+    return min(places, key=lambda place: abs(place - point), default=None)
+
+
+def around(self, start: int, end: int, context: int = 40) -> tuple[str | None, str | None, str | None]:
+        return around(self.text, start, end, context)
+
+
+MATCHES = ("exact", "corrected", "approximate")
+#: Occurrences that a text match looks at.
+MOST_OCCURRENCES = 10_000
+
+
 def nearest(haystack: str, needle: str, lead: int, point: int) -> int | None:
     """Of the first occurrences of needle (shifted by lead), the one nearest to point; the first of ties."""
     best, at, seen = None, haystack.find(needle), 0

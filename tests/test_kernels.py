@@ -59,10 +59,11 @@ def test_whole_words_and_astral_offsets():
     assert units.from_units(units.to_units("a😀b")) == "a😀b" and units.length16("a😀b") == 4
 
 
-@given(st.text(alphabet=st.sampled_from("aBé É\u0301 \n\t\u00ad\u200bßİςΣ😀漢\u3000Łx"), max_size=30), st.booleans(), st.booleans())
+@settings(deadline=None)
+@given(st.text(alphabet=st.sampled_from("\ud83daBé É\u0301 \n\t\u00ad\u200bßİςΣ😀漢\u3000Łx"), max_size=30), st.booleans(), st.booleans())
 def test_both_ways_of_folding_agree(text, case, diacritics):
     rule = folding.Sensitivity(case, diacritics)
-    a, b = folding.fold(units.to_units(text), rule), folding._fold_by_characters(units.to_units(text), rule)
+    a, b = folding.fold(units.to_units(text), rule), folding._by_spans(units.to_units(text), rule)
     assert (a.text, list(a.starts), list(a.ends)) == (b.text, list(b.starts), list(b.ends))
 
 
@@ -227,7 +228,7 @@ def test_fallbacks():
 def test_fonts():
     for start, end in ((0, 1300), (1000, 1100), (1039, 1041), (1200, 1300)):
         hidden = bytes(b ^ books.IDPF_KEY[i % 20] if i < 1040 else b for i, b in enumerate(books.FONT))
-        assert fonts.reveal(hidden[start:end], "http://www.idpf.org/2008/embedding", " urn:uuid:12345678-1234-1234-1234-123456789abc", start) == books.FONT[start:end]
+        assert fonts.reveal(hidden[start:end], "http://www.idpf.org/2008/embedding", " " + books.IDENTIFIER, start) == books.FONT[start:end]
     with pytest.raises(BookError):
         fonts.key_of("http://ns.adobe.com/pdf/enc#RC", "isbn 1")
 

@@ -69,16 +69,23 @@ def search_lower(text: Column) -> Column:
     return F.translate(F.lower(text), "ς", "σ")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with `value` evaluated once however often `use` mentions it and wherever the result is
+    pushed to."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold(text: Column, case: bool = False, diacritics: bool = False) -> Column:
-    """Folded text without offsets: equal to the kernel's for counting and containment."""
-    text = F.regexp_replace(text, folding.char_class(folding.IGNORED), "")
-    text = F.regexp_replace(text, WHITE + "+", " ")
-    if not case:
-        text = search_lower(text)
+    """Folded text without offsets: equal to the kernel's for counting and containment. Text that is all
+    ASCII, which its lengths tell, needs no tables."""
+    lower = (lambda c: c) if case else search_lower
+    ascii_only = F.octet_length(text) == F.length(text)
+    plain = F.regexp_replace(text, "[\t-\r ]+", " ")
+    any_text = lower(F.regexp_replace(F.regexp_replace(text, folding.char_class(folding.IGNORED), ""), WHITE + "+", " "))
     if not diacritics:
         pairs = sorted(folding.base_letters().items())
-        text = F.translate(F.regexp_replace(text, folding.char_class(folding.MARKS), ""), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
-    return text
+        any_text = F.translate(F.regexp_replace(any_text, folding.char_class(folding.MARKS), ""), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    return F.when(ascii_only, plain if case else F.lower(plain)).otherwise(any_text)
 
 
 def occurrences(folded: Column, needle: Column) -> Column:

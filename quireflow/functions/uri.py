@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..kernels import paths
+from ..kernels.errors import BookError
 
 _CONTROL = "[\\x00-\\x1f\\x7f-\\x9f]"
 
@@ -66,3 +71,21 @@ def resource_path(reference: Column, base: Column | None = None) -> Column:
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "://([^/?#:]*)", 1))
+
+
+_PLACED = T.StructType([T.StructField("href", T.StringType()), T.StructField("warning", T.StringType()), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(_PLACED)
+def in_container(reference: pd.Series, document: pd.Series, bases: pd.Series) -> pd.DataFrame:
+    """A reference of a document below its inherited bases, resolved at the container's root: the href, a
+    warning where it was clamped, or the error that refuses it."""
+
+    def one(r, d, b):
+        notes: list = []
+        try:
+            return paths.resolve(r, d, list(b if b is not None else ()), notes), notes[0][0] if notes else None, None
+        except BookError as error:
+            return None, None, error.kind
+
+    return pd.DataFrame([one(*row) if row[0] is not None and row[1] is not None else (None, None, None) for row in zip(reference, document, bases, strict=True)], columns=["href", "warning", "error"])

@@ -408,10 +408,10 @@ class _Parser:
             names = list(dict.fromkeys(canonical(expand(t, self.meta.prefixes)) for t in tokens(e("properties"))))
             entry = self.archive.entries.get(path)
             if not external and (entry is None or entry.is_dir):
-                self.warn("resource-missing", "Manifest resource is absent.", path)
+                self.warn("resource-missing", "The container has no such entry.", path)
             told = self.meta.one(name, "media:duration")
             if told is not None and clock(told) is None:
-                self.warn("media-duration-invalid", "Invalid resource duration.", path)
+                self.warn("media-duration-invalid", "media:duration is no clock value.", path)
             properties = {"id": name} | ({"properties": " ".join(names)} if names else {}) | ({"declared-media-type": declared} if declared is not None else {}) | rendition(names, self.meta.prefixes)
             items[name] = {
                 "ord": len(items), "item_id": name, "href": href, "path": path, "media_type": kind, "declared_type": declared, "tokens": names, "fallback": e("fallback"),
@@ -467,7 +467,7 @@ class _Parser:
                 raise BookError("package", "the spine names a missing item", self.path)
             linear = (ref("linear") or "yes").lower() if ref("linear") is not None else "yes"
             if linear not in ("yes", "no"):
-                self.warn("spine-linear-invalid", "Invalid linear value read as yes.", self.path)
+                self.warn("spine-linear-invalid", "linear is neither yes nor no; taken for yes.", self.path)
             properties = item["properties"] | rendition(tokens(ref("properties")), self.meta.prefixes) | {"linear": "no" if linear == "no" else "yes"}
             out.append({"pos": len(out), "idref": item["item_id"], "href": item["href"], "path": item["path"], "media_type": item["media_type"], "linear": linear != "no", "cfi_path": head + step(position, ref), "properties": properties})
         return out

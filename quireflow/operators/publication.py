@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,29 +70,45 @@ def is_fixed(link_layout: Column, book_layout: Column) -> Column:
     return F.coalesce(F.when(link_layout.isin("fixed", "reflowable"), link_layout == "fixed"), book_layout == "fixed", F.lit(False))
 
 
-def fallback_chains(manifest: DataFrame, depth: int = 128) -> DataFrame:
+#: Steps of a fallback chain beyond which a package is refused.
+MOST_FALLBACKS = 128
+_CHAIN = pa.schema([("item_id", pa.string()), ("step", pa.int32()), ("target", pa.string()), ("cyclic", pa.bool_())])
+
+
+def _chains(items: list[str], fallbacks: list[str | None]) -> Iterator[tuple[str, int, str, bool]]:
+    following = dict(zip(items, fallbacks, strict=True))
+    for item in items:
+        at, seen = following[item], {item}
+        while at in following:
+            yield item, len(seen), at, at in seen
+            if at in seen:
+                break
+            seen.add(at)
+            at = following[at]
+
+
+def fallback_chains(manifest: DataFrame) -> DataFrame:
     """(book, item_id, step, target, cyclic): every item's fallbacks, nearest first. A chain ends where an
-    item has none, is missing, or comes a second time (cyclic).
-
-    Chains are followed by joins that double their reach, so a chain of n needs log2(n) of them."""
-    items = manifest.select("book", "item_id", "fallback")
-    link = items.where("fallback is not null").select("book", F.col("item_id").alias("at"), F.col("fallback").alias("next"))
-    known = items.select("book", F.col("item_id").alias("next"))
-    link = link.join(known, ["book", "next"], "left_semi")
-    walk = link.select("book", F.col("at").alias("item_id"), F.array("next").alias("trail"))
-    reach = 1
-    while reach < depth:
-        more = walk.select("book", F.col("item_id").alias("_end"), F.col("trail").alias("_more"))
-        joined = walk.withColumn("_end", F.element_at("trail", -1)).join(more, ["book", "_end"], "left")
-        open_ = F.size("trail") == reach
-        walk = joined.select("book", "item_id", F.when(open_ & F.col("_more").isNotNull(), F.concat("trail", "_more")).otherwise(F.col("trail")).alias("trail"))
-        reach *= 2
-    full = walk.select("book", "item_id", F.concat(F.array("item_id"), "trail").alias("trail"))
-    first = F.transform(F.col("trail"), lambda x, i: F.array_position(F.col("trail"), x) == i + 1)
-    stop = F.array_position(first, F.lit(False))
-    steps = F.posexplode(F.slice("trail", F.lit(2), F.when(stop > 0, stop - 1).otherwise(F.size("trail") - 1).cast("int")))
-    rows = full.withColumn("_stop", stop).select("book", "item_id", "_stop", steps.alias("step", "target"))
-    return rows.select("book", "item_id", (F.col("step") + 1).alias("step"), "target", ((F.col("_stop") > 0) & (F.col("step") + 2 == F.col("_stop"))).alias("cyclic"))
+    item has none, is missing, or comes a second time (cyclic); its length has no bound here, see
+    fallback_errors().
+
+    Each book's items are walked in one grouped pass over their ids alone: a book has no more of them
+    than its container has entries."""
+    book = manifest.schema["book"].dataType
+
+    def walk(key: tuple, items: pa.Table) -> pa.Table:
+        rows = list(_chains(items.column("item_id").to_pylist(), items.column("fallback").to_pylist()))
+        columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CHAIN)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), items.schema.field("book").type), *columns], names=["book", *_CHAIN.names])
+
+    return manifest.select("book", "item_id", "fallback").groupBy("book").applyInArrow(walk, f"book {book.simpleString()}, item_id string, step int, target string, cyclic boolean")
+
+
+def fallback_errors(manifest: DataFrame, most: int = MOST_FALLBACKS) -> DataFrame:
+    """(book, item_id, message): items whose fallbacks name themselves again, or go on for too long."""
+    chains = fallback_chains(manifest).groupBy("book", "item_id").agg(F.max("step").alias("steps"), F.bool_or("cyclic").alias("cyclic"))
+    message = F.when(F.col("cyclic"), "the fallbacks go in a circle").when(F.col("steps") > most, "the fallback chain is too long")
+    return chains.select("book", "item_id", message.alias("message")).where("message is not null")
 
 
 def accepted_fallback(manifest: DataFrame, missing: DataFrame, accept: Column | None = None) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, occurrences, substring16, whole_word
+from ..functions.text import fold, occurrences, once, substring16, whole_word
 from ..kernels import folding
 from ..kernels.folding import Sensitivity
 from ..kernels.units import to_units
@@ -23,18 +24,21 @@ def checked(max_results: int, context: int) -> None:
 
 
 def counts(blocks: DataFrame, query: str, text: str = "text", case: bool = False, diacritics: bool = False) -> DataFrame:
-    """`blocks` with n, the matches in each: built-ins only, so it filters before anything else runs."""
+    """`blocks` with n, the matches in each: built-ins only, and each text is folded once."""
     needle = folding.needle_of(query, Sensitivity(case, diacritics))
-    return blocks.withColumn("n", occurrences(fold(F.col(text), case, diacritics), F.lit(needle)))
+    return blocks.withColumn("n", once(F.col(text), lambda t: once(fold(t, case, diacritics), lambda f: occurrences(f, F.lit(needle)))))
 
 
 def word_counts(blocks: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """The same for whole words."""
-    return blocks.withColumn("n", whole_word(fold(F.col(text)), folding.needle_of(query)))
+    """The same for whole words; the pattern only runs where the folded text holds the query at all."""
+    needle = folding.needle_of(query)
+    found = lambda f: F.when(F.contains(f, F.lit(needle)), whole_word(f, needle)).otherwise(0)
+    return blocks.withColumn("n", once(F.col(text), lambda t: once(fold(t), found)))
 
 
-def hits(blocks: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", case: bool = False, diacritics: bool = False, whole: bool = False) -> DataFrame:
-    """keys, query_id, query, start, end (UTF-16 units of the block's text) of every match.
+def hits(blocks: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", case: bool = False, diacritics: bool = False, whole: bool = False, most: int | None = None) -> DataFrame:
+    """keys, query_id, query, start, end (UTF-16 units of the block's text) of every match. With `most`, a
+    partition stops looking for a query after so many matches in the order of its rows; see first_hits().
 
     queries (query_id, query) are collected in passes of at most QUERY_BYTES, checked by a sum first; each
     block is folded once a pass, and then searched for each query."""
@@ -47,17 +51,21 @@ def hits(blocks: DataFrame, queries: DataFrame, keys: list[str], text: str = "te
     def with_queries(asked: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             needles = [(i, q, n) for i, q in asked if (n := folding.needle_of(q, rule))]
+            open_ = [[*needle, most] for needle in needles]
             for batch in batches:
                 owner, out = [], []
-                for row, value in enumerate(batch.column(len(keys)).to_pylist()):
-                    if not value:
+                for row, value in enumerate(batch.column(len(keys)).to_pylist() if open_ else ()):
+                    if not value or not open_:
                         continue
                     units = to_units(value)
                     folded = folding.fold(units, rule)
-                    for i, q, n in needles:
-                        for a, b in folding.find(n, folded, units, whole):
-                            owner.append(row)
-                            out.append((i, q, a, b))
+                    for needle in open_:
+                        i, q, n, left = needle
+                        spans = list(islice(folding.find(n, folded, units, whole), left))
+                        owner += [row] * len(spans)
+                        out += [(i, q, a, b) for a, b in spans]
+                        needle[3] = left and left - len(spans)
+                    open_ = [needle for needle in open_ if needle[3] != 0]
                 kept = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
                 types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))], names=[*keys, "query_id", "query", "start", "end"])
@@ -81,6 +89,14 @@ def first_per_query(found: DataFrame, order: list[str], max_results: int = 1000)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results)
 
 
+def first_hits(blocks: DataFrame, queries: DataFrame, keys: list[str], max_results: int = 1000, **options) -> DataFrame:
+    """The first results of every query in the order of `keys`, with rank, searched with an early stop:
+    each partition is put in order, and searched until it has max_results of a query."""
+    checked(max_results, 0)
+    found = hits(blocks.sortWithinPartitions(*keys), queries, keys, most=max_results, **options)
+    return first_per_query(found, [*keys, "start"], max_results)
+
+
 def with_context(found: DataFrame, text: Column, context: int = 40) -> DataFrame:
     """before, highlight and after of each hit; offsets in UTF-16 units."""
     checked(1, context)

@@ -109,23 +109,28 @@ def map_documents(df: DataFrame, one, schema: str, arrow: pa.Schema, content: st
     return source.mapInArrow(run, f"{_columns(source.select(*names))}, {schema}")
 
 
-_SAMPLE = pa.schema([("offset", pa.int32()), ("cfi", pa.string()), ("back", pa.int32()), ("range_cfi", pa.string()), ("range_start", pa.int32()), ("range_end", pa.int32()), ("match", pa.string())])
+_SAMPLE = pa.schema([("offset", pa.int32()), ("canonical", pa.int32()), ("cfi", pa.string()), ("back", pa.int32()), ("range_cfi", pa.string()), ("range_start", pa.int32()), ("range_end", pa.int32()), ("match", pa.string())])
 
 
 def cfi_samples(df: DataFrame, stride: int = 50, span: int = 9, **options) -> DataFrame:
-    """Every stride-th offset as a point and a short range, and where they resolve to again. A document that
-    can't be read gives one row of nulls."""
+    """Every stride-th offset as a point and a short range, and where they resolve to again: at `canonical`,
+    the offset itself, or the next text where none of the document's characters is there. A document that can't be
+    read gives one row of nulls."""
 
     def one(d: reading.Document, _) -> list[dict]:
         out = []
+        told = {o for _, (_, _, begin, given) in d.runs for o in range(begin, begin + given)}
+        starts = sorted(begin for _, (_, _, begin, _) in d.runs)
         for o in range(0, len(d.text) + 1, stride):
             point = d.cfi_at(o)
             range_ = d.cfi_for(o, min(o + span, len(d.text)))
             a, b = d.resolve(point), d.resolve(range_)
-            out.append({"offset": o, "cfi": str(point), "back": a and a[0], "range_cfi": str(range_), "range_start": b and b[0], "range_end": b and b[1], "match": a and a[2]})
+            k = bisect_right(starts, o)
+            canonical = o if o in told or k == len(starts) else starts[k]
+            out.append({"offset": o, "canonical": canonical, "cfi": str(point), "back": a and a[0], "range_cfi": str(range_), "range_start": b and b[0], "range_end": b and b[1], "match": a and a[2]})
         return out
 
-    return map_documents(df, one, "offset int, cfi string, back int, range_cfi string, range_start int, range_end int, match string", _SAMPLE, unread=(dict.fromkeys(_SAMPLE.names),), **options)
+    return map_documents(df, one, "offset int, canonical int, cfi string, back int, range_cfi string, range_start int, range_end int, match string", _SAMPLE, unread=(dict.fromkeys(_SAMPLE.names),), **options)
 
 
 _POINTS = pa.schema([("offset", pa.int32()), ("cfi", pa.string())])
@@ -140,6 +145,18 @@ def cfis_at(df: DataFrame, offsets: str, before: bool = False, **options) -> Dat
     return map_documents(df, one, "offset int, cfi string", _POINTS, argument=offsets, **options)
 
 
+_RANGES = pa.schema([("start", pa.int32()), ("end", pa.int32()), ("cfi", pa.string())])
+
+
+def cfis_for(df: DataFrame, spans: str, **options) -> DataFrame:
+    """Rows (keys, content, spans array<struct<start,end>>) -> one row a span with the CFI of that range."""
+
+    def one(d: reading.Document, wanted) -> list[dict]:
+        return [{"start": s["start"], "end": s["end"], "cfi": C.expression(d.cfi_for(s["start"], s["end"]))} for s in wanted or () if 0 <= s["start"] <= s["end"] <= len(d.text)]
+
+    return map_documents(df, one, "start int, end int, cfi string", _RANGES, argument=spans, **options)
+
+
 _RESOLVED = pa.schema([("cfi", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string())])
 
 

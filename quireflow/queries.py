@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import book_queries
 from .functions import cfi, media, text, uri, values
 from .operators import metadata, positions, publication, reader, search, titles
 from .operators import text as extraction
@@ -132,13 +133,20 @@ def search_whole_word(spark: SparkSession, d: str) -> DataFrame:
     return search.word_counts(T.lines(spark, d), "The").where("n > 0").select("doc_id", "block", "n")
 
 
-@query(f"WITH {_LINES} SELECT item_id AS query_id, doc_id, block, CAST(instr(l.text, b.text) - 1 AS INTEGER) AS start, CAST(instr(l.text, b.text) - 1 + length(b.text) AS INTEGER) AS \"end\" FROM lines l JOIN (SELECT item_id, trim(text) AS text FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%') b ON contains(l.text, b.text)")
+_FLAT = "trim(regexp_replace(coalesce({c}, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+_U16 = "(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_FLAT.format(c='text')} AS text FROM documents), b AS (SELECT item_id, {_FLAT.format(c='text')} AS item FROM benchmark), f AS (SELECT item_id AS query_id, doc_id, item, substr(text, 1, instr(text, item) - 1) AS before FROM d JOIN b ON item <> '' AND contains(text, item))
+SELECT query_id, doc_id, CAST({_U16.format(x='before')} AS INTEGER) AS start, CAST({_U16.format(x='before')} + {_U16.format(x='item')} AS INTEGER) AS "end" FROM f""")
 def search_first_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where benchmark items of one line stand in lines: their first hits (case and marks must match here, as
-    in the oracle). search_items has all items, in whole texts."""
-    items = table(spark, d, "benchmark").where("not contains(text, '\n')").select(F.col("item_id").alias("query_id"), F.trim("text").alias("query"))
-    found = search.hits(T.lines(spark, d), items, ["doc_id", "block"], case=True, diacritics=True)
-    return found.groupBy("query_id", "doc_id", "block").agg(F.min("start").alias("start"), F.min("end").alias("end"))
+    """Where benchmark items stand first in whole documents, white space being one space in both (case and
+    marks must match, as in the oracle). search_items has every hit, in the texts as they are."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \\t\\n\\r\\f\\x0B]+", " "))
+    docs = table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), flat(F.col("text")).alias("query"))
+    found = search.hits(docs, items, ["doc_id"], case=True, diacritics=True)
+    return found.groupBy("query_id", "doc_id").agg(F.min("start").alias("start"), F.min("end").alias("end"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +177,7 @@ def search_all_offsets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, block, start) AS rank FROM hits) SELECT query_id, doc_id, block, start, rank FROM r WHERE rank <= 25")
 def search_topn_per_query(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id bigint, query string")
-    found = search.first_per_query(search.hits(T.lines(spark, d), asked, ["doc_id", "block"]), ["doc_id", "block", "start"], 25)
+    found = search.first_hits(T.lines(spark, d), asked, ["doc_id", "block"], 25)
     return found.select("query_id", "doc_id", "block", "start", F.col("rank").cast("long").alias("rank"))
 
 
@@ -360,10 +368,10 @@ def page_text_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 0 AS wrong")
 def cfi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Every 50th offset of every page goes to a CFI and back; a point between blocks snaps to the
-    next text. Samples that differ otherwise or lead nowhere, and pages that can't be read: none."""
+    """Every 50th offset of every page goes to a CFI and back: to itself, or from between two texts to the
+    start of the next one. Samples that differ or lead nowhere, and pages that can't be read: none."""
     found = extraction.cfi_samples(T.pages(spark, d), keep=["page_id"])
-    differs = (F.col("match") != "exact") | (F.abs(F.col("back") - F.col("offset")) > 1) | (F.col("range_start") > F.col("range_end"))
+    differs = (F.col("match") != "exact") | (F.col("back") != F.col("canonical")) | (F.col("range_start") > F.col("range_end"))
     return found.agg(F.count_if(F.coalesce(differs, F.lit(True))).cast("int").alias("wrong"))
 
 
@@ -383,19 +391,6 @@ def page_list_items(spark: SparkSession, d: str) -> DataFrame:
 # --- locations ---------------------------------------------------------------------------------
 
 
-@query("""SELECT item_id, doc_id, CASE WHEN hit > 0 THEN 'text' ELSE 'progression' END AS match, CAST(CASE WHEN hit > 0 THEN hit - 1 ELSE floor(n_chars * 0.5 + 0.5) END AS BIGINT) AS start
-FROM (SELECT b.item_id, d.doc_id, d.n_chars, instr(replace(d.text, chr(10), ' '), replace(b.text, chr(10), ' ')) AS hit FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)""")
-def resolve_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as stored highlights with progression 0.5 in the documents of their residue: found
-    by text (the first occurrence), else by progression. A sample of the pairs by built-ins, for the oracle;
-    resolve_locations has all of them, by the operator."""
-    b = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("highlight"), (F.col("item_id") % 40).alias("r"))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.replace("text", F.lit("\n"), F.lit(" ")).alias("flat"), (F.col("doc_id") % 40).alias("r"))
-    j = docs.join(b, "r")
-    at = F.expr("locate(highlight, flat)")
-    return j.select("item_id", "doc_id", F.when(at > 0, "text").otherwise("progression").alias("match"), F.when(at > 0, at - 1).otherwise(F.floor(F.col("n_chars") * 0.5 + 0.5)).cast("long").alias("start"))
-
-
 _STORED = "array<struct<fragments:array<string>,progression:double,position:int,offset_of_position:int,partial_cfi:string,before:string,highlight:string,after:string>>"
 #: What the stored locators of resolve_locations carry, and the rung that each asks for.
 _RUNGS = ("cfi", "text", "stale", "fragment", "progression", "position", "start")
@@ -517,3 +512,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship_search"] = flagship
+
+
+# --- containers, chapters, CFIs and locators -----------------------------------------------------
+
+QUERIES.update(book_queries.QUERIES)
+SQL.update(book_queries.SQL)

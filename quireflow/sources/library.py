@@ -1,7 +1,8 @@
 """A library of books as a family of DataFrames.
 
 Library.read() takes containers as rows (book, content) of bytes, from Spark's binaryFile reader, so any store
-that Spark reaches will do; every book is parsed once, where its bytes are.
+that Spark reaches will do. Books are parsed and members read where the bytes are: containers never go through
+a shuffle. Each relation that is asked of `books` parses them again, unless kept() has written that table.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..kernels import fonts, package
 from ..kernels.archive import Archive, Limits, checked_range
-from ..kernels.errors import ERROR, BookError
+from ..kernels.errors import BookError
 from ..kernels.paths import resource_path
+from ..kernels.reading import TEXT_TYPES
 
 _MAP = pa.map_(pa.string(), pa.string())
 
@@ -83,8 +85,8 @@ class Library:
     """Books, and the tables that their packages hold. `books` has a row for every container, with an
     error for those that can't be opened."""
 
-    def __init__(self, containers: DataFrame, books: DataFrame):
-        self.containers, self.books = containers, books
+    def __init__(self, containers: DataFrame, books: DataFrame, limits: Limits = Limits(), options: package.Options = package.Options()):
+        self.containers, self.books, self.limits, self.options = containers, books, limits, options
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, pattern: str = "*.epub", **options) -> Library:
@@ -105,7 +107,13 @@ class Library:
 
         source = containers.select("book", F.col("content").cast("binary").alias("content"))
         schema = f"book {source.schema['book'].dataType.simpleString()}, " + ", ".join(f"{n} {_spark_type(t)}" for n, t in _FIELDS)
-        return cls(source, source.mapInArrow(run, schema))
+        return cls(source, source.mapInArrow(run, schema), limits, options)
+
+    def kept(self, folder: str) -> Library:
+        """The same library with its table of books written to `folder` and read from there, so that what
+        the packages hold is parsed once for all relations."""
+        self.books.write.mode("overwrite").parquet(folder)
+        return Library(self.containers, self.books.sparkSession.read.schema(self.books.schema).parquet(folder), self.limits, self.options)
 
     def _exploded(self, name: str) -> DataFrame:
         return self.books.select("book", F.explode(name).alias("x")).select("book", "x.*")
@@ -146,47 +154,117 @@ class Library:
         """One JSON document a book; what is absent is left out."""
         return self.books.where("error is null").select("book", F.to_json(F.col("metadata").dropFields("raw")).alias("json"))
 
-    def resources(self, wanted: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-        """wanted (book, href) with media_type, content and error: members by manifest href (query and
-        fragment don't count), obfuscated fonts in clear, byte ranges half-open. Every book is opened once
-        for all that is asked of it."""
-        asked = wanted.groupBy("book").agg(F.collect_list("href").alias("hrefs"))
-        info = self.books.select("book", "identifier", "encryption", F.map_from_entries(F.transform(F.coalesce("manifest", F.array()), lambda i: F.struct(i["href"], i["media_type"]))).alias("types"))
-        source = self.containers.join(asked, "book").join(info, "book").select("book", "content", "hrefs", "identifier", "encryption", "types")
+    def _read(self, source: DataFrame, wanted, columns: pa.Schema) -> DataFrame:
+        """Rows that wanted(archive, parsed book, further columns) gives for every container that opens,
+        beside its book. source: (book, content, ...)."""
+        limits, options = self.limits, self.options
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                owner, rows = [], []
                 for i in range(batch.num_rows):
-                    content, hrefs, identifier, encryption, types = (batch.column(k)[i].as_py() for k in range(1, 6))
-                    archive, rules, known = None, dict(encryption or ()), dict(types or ())
-                    for href in hrefs:
-                        row = {"href": href, "media_type": None, "content": None, "error": None}
-                        try:
-                            archive = archive or Archive.of_bytes(content)
-                            bare = href.split("#")[0].split("?")[0]
-                            if bare not in known:
-                                raise BookError("resource", "not in the manifest", href)
-                            path = resource_path(bare)
-                            row["media_type"] = known[bare]
-                            size = archive.entries[path].size if path in archive.entries else 0
-                            a, b = checked_range(size, start, None if end is None else min(end, size), "resource", path)
-                            data = archive.read(path, a, b)
-                            row["content"] = fonts.reveal(data, rules[path], identifier, a, path) if path in rules else data
-                        except BookError as error:
-                            row["error"] = error.as_row()
-                        owner.append(i)
-                        rows.append(row)
-                types_ = [pa.string(), pa.string(), pa.binary(), _struct(("kind", _S), ("message", _S), ("path", _S))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[n] for r in rows], t) for n, t in zip(("href", "media_type", "content", "error"), types_, strict=True))], names=["book", "href", "media_type", "content", "error"])
-
-        return source.mapInArrow(run, f"book {self.containers.schema['book'].dataType.simpleString()}, href string, media_type string, content binary, error {ERROR}")
+                    rest = [batch.column(k)[i].as_py() for k in range(2, batch.num_columns)]
+                    try:
+                        archive = Archive.of_bytes(batch.column(1)[i].as_py() or b"", limits)
+                        rows = wanted(archive, *rest)
+                    except BookError as error:
+                        rows = wanted(error, *rest)
+                    rows = list(rows)
+                    book = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([book, *(pa.array([r[f.name] for r in rows], f.type) for f in columns)], names=["book", *columns.names])
+
+        kinds = {**{f.name: f.type for f in columns}}
+        schema = ", ".join(f"{n} {'binary' if t == pa.binary() else _spark_type(t)}" for n, t in kinds.items())
+        return source.mapInArrow(run, f"book {source.schema['book'].dataType.simpleString()}, {schema}")
+
+    def entries(self, content: bool = False) -> DataFrame:
+        """(book, path, size, is_dir, method, crc32, compressed_size, content, error): every entry of every
+        container, with `content` its bytes as well; an archive that can't be read gives one row with its error."""
+
+        def every(archive: Archive | BookError) -> Iterator[dict]:
+            none = dict.fromkeys(_ENTRY.names)
+            if isinstance(archive, BookError):
+                yield none | {"error": archive.as_row()}
+                return
+            for e in archive.entries.values():
+                row = none | {"path": e.path, "size": e.size, "is_dir": e.is_dir, "method": e.method, "crc32": e.crc32, "compressed_size": e.compressed_size}
+                if content and not e.is_dir:
+                    try:
+                        row["content"] = archive.read(e.path)
+                    except BookError as error:
+                        row["error"] = error.as_row()
+                yield row
+
+        return self._read(self.containers.select("book", "content"), every, _ENTRY)
+
+    def resources(self, wanted: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+        """wanted (book, href) with media_type, content and error: members by manifest href (query and
+        fragment don't count), obfuscated fonts in clear, byte ranges half-open. Every book is opened once
+        for all that is asked of it. What is asked goes to the containers as a broadcast up to WANTED_BYTES,
+        which is checked first; more meets them in a join."""
+        asked = wanted.groupBy("book").agg(F.collect_list("href").alias("hrefs"))
+        size = asked.agg(F.sum(F.octet_length(F.array_join("hrefs", " ")) + 64)).first()[0] or 0
+        source = self.containers.join(F.broadcast(asked) if size <= WANTED_BYTES else asked, "book").select("book", "content", "hrefs")
+        options = self.options
+
+        def some(archive: Archive | BookError, hrefs: list[str]) -> Iterator[dict]:
+            opened = None
+            for href in hrefs:
+                try:
+                    if isinstance(archive, BookError):
+                        raise archive
+                    if opened is None:
+                        opened = package.parse(archive, options)
+                        known = {i["href"]: i for i in opened.manifest}
+                    yield _member(archive, opened, known, href, start, end)
+                except BookError as error:
+                    yield {"href": href, "media_type": None, "content": None, "error": error.as_row()}
+
+        return self._read(source, some, _RESOURCE)
 
     def documents(self) -> DataFrame:
-        """(book, idx, href, media_type, content) of the reading order's text documents."""
-        order = self.reading_order.select("book", "idx", "href").where(F.col("media_type").isin("application/xhtml+xml", "text/html", "image/svg+xml"))
-        read = self.resources(order.select("book", "href").distinct())
-        return order.join(read, ["book", "href"]).select("book", "idx", "href", F.col("href").alias("path"), "media_type", "content", "error")
+        """(book, idx, href, path, media_type, content, error) of the reading order's text documents, read in
+        one pass over the containers. Books that don't open have none; errors tells why."""
+        options = self.options
+
+        def texts(archive: Archive | BookError) -> Iterator[dict]:
+            if isinstance(archive, BookError):
+                return
+            try:
+                opened = package.parse(archive, options)
+            except BookError:
+                return
+            known = {i["href"]: i for i in opened.manifest}
+            for idx, item in enumerate(s for s in opened.spine if s["linear"]):
+                if item["media_type"] in TEXT_TYPES:
+                    yield {"idx": idx, "path": item["href"]} | _member(archive, opened, known, item["href"])
+
+        return self._read(self.containers.select("book", "content"), texts, _DOCUMENT)
+
+
+#: Bytes of hrefs that are broadcast.
+WANTED_BYTES = 8 << 20
+_ERROR = _struct(("kind", _S), ("message", _S), ("path", _S))
+_ENTRY = pa.schema([("path", _S), ("size", pa.int64()), ("is_dir", pa.bool_()), ("method", pa.int32()), ("crc32", pa.int64()), ("compressed_size", pa.int64()), ("content", pa.binary()), ("error", _ERROR)])
+_RESOURCE = pa.schema([("href", _S), ("media_type", _S), ("content", pa.binary()), ("error", _ERROR)])
+_DOCUMENT = pa.schema([("idx", pa.int64()), ("href", _S), ("path", _S), ("media_type", _S), ("content", pa.binary()), ("error", _ERROR)])
+
+
+def _member(archive: Archive, book: package.Book, known: dict[str, dict], href: str, start: int | None = None, end: int | None = None) -> dict:
+    """One resource by its manifest href: what it is declared as, and its bytes or why there are none."""
+    row = {"href": href, "media_type": None, "content": None, "error": None}
+    bare = href.split("#")[0].split("?")[0]
+    try:
+        if bare not in known:
+            raise BookError("resource", "not in the manifest", href)
+        row["media_type"] = known[bare]["media_type"]
+        path = resource_path(bare)
+        size = archive.entries[path].size if path in archive.entries else 0
+        a, b = checked_range(size, start, None if end is None else min(end, size), "resource", path)
+        data = archive.read(path, a, b)
+        row["content"] = fonts.reveal(data, book.encryption[path], book.identifier, a, path) if path in book.encryption else data
+    except BookError as error:
+        row["error"] = error.as_row()
+    return row
 
 
 def json_default(x):

@@ -163,6 +163,40 @@ def test_metadata_columns(spark):
     assert sorted(r.pos for r in publication.spine_item_of(steps, spine).collect()) == [1, 1, 2]
 
 
+def test_fallback_chains_of_any_length(spark):
+    n = 300
+    items = [("long", f"i{k}", f"i{k + 1}" if k < n else None) for k in range(n + 1)] + [("ring", "a", "b"), ("ring", "b", "a"), ("ring", "c", "gone"), ("ring", "d", "d"), (None, "x", "y"), (None, "y", None)]
+    m = spark.createDataFrame(items, "book string, item_id string, fallback string").repartition(3)
+    chains = publication.fallback_chains(m)
+    assert chains.where("book = 'long' and item_id = 'i0'").count() == n and chains.where("item_id = 'i0' and step = 300").first().target == "i300"
+    assert rows(chains.where("book = 'ring'"), "item_id", "step", "target", "cyclic") == [("a", 1, "b", False), ("a", 2, "a", True), ("b", 1, "a", False), ("b", 2, "b", True), ("d", 1, "d", True)]
+    assert rows(chains.where("book is null"), "item_id", "target") == [("x", "y")] and publication.fallback_chains(m.where("false")).count() == 0
+    errors = {(r.book, r.item_id): r.message for r in publication.fallback_errors(m).collect()}
+    assert set(errors) == {("ring", "a"), ("ring", "b"), ("ring", "d")} | {("long", f"i{k}") for k in range(n - 128)} and "circle" in errors["ring", "a"] and "long" in errors["long", "i0"]
+    plan = chains._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_containers_are_never_shuffled(spark, library, tmp_path):
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    wanted = spark.createDataFrame([("simple", "OEBPS/two.xhtml")], "book string, href string")
+    assert exchanges(library.documents()) == 0 and exchanges(library.entries()) == 0
+    plan = library.resources(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    kept = library.kept(f"file://{tmp_path}/books")
+    assert rows(kept.reading_order, "book", "href") == rows(library.reading_order, "book", "href") and "MapInArrow" not in kept.manifest._jdf.queryExecution().executedPlan().toString()
+    assert kept.entries(content=True).where("book = 'simple' and path = 'mimetype'").first().content == b"application/epub+zip"
+
+
+def test_folding_runs_once(spark):
+    lines = spark.createDataFrame([("The  caf\u00e9 the",), ("PLAIN the\tthe",), (None,), ("",), ("\u00adthe\u200b other",)], "text string")
+    found = search.counts(lines, "the").where("n > 0")
+    assert sorted(r.n for r in found.collect()) == [2, 2, 2] and sorted(r.n for r in search.word_counts(lines, "thé").where("n > 0").collect()) == [1, 2, 2]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 4
+
+
 def test_reader_relations(spark):
     boxes = spark.createDataFrame([("a", 1, 0, 0, 300, 300), ("b", 2, 200, 200, 900, 400)], "id string, order int, left int, top int, right int, bottom int")
     taps = spark.createDataFrame([(1, 250, 250), (2, 10, 10), (3, 950, 10)], "tap int, x int, y int")
@@ -284,9 +318,9 @@ def test_cfi_roundtrip_counts_what_leads_nowhere(spark, tmp_path, monkeypatch):
     pages.write.parquet(f"file://{tmp_path}/pages.parquet")
     count = lambda: queries.QUERIES["cfi_roundtrip"](spark, f"file://{tmp_path}").first().wrong
     assert count() == 2
-    lost = spark.createDataFrame([(1, 0, None, None, None, None), (1, 0, "exact", 0, 0, 1)], "page_id bigint, offset int, match string, back int, range_start int, range_end int")
+    lost = spark.createDataFrame([(1, 0, 0, None, None, None, None), (1, 0, 0, "exact", 0, 0, 1), (1, 7, 7, "exact", 8, 7, 8)], "page_id bigint, offset int, canonical int, match string, back int, range_start int, range_end int")
     monkeypatch.setattr(extraction, "cfi_samples", lambda *a, **b: lost)
-    assert count() == 1
+    assert count() == 2
 
 
 def test_prepared_pages_answer_for_every_page(spark, tmp_path):

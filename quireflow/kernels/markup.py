@@ -119,6 +119,7 @@ IMPLIED_END = set("dd dt li optgroup option p rb rp rt rtc".split())
 SCOPE = set("applet caption html table td th marquee object template".split())
 SPECIAL = CLOSES_P | VOID | SCOPE | HEAD_ONLY | set("body button colgroup dd dt frameset head iframe li noembed noscript select tbody textarea tfoot thead tr".split())
 TABLE_PARTS = {"tbody": "table", "thead": "table", "tfoot": "table", "caption": "table", "colgroup": "table", "tr": "tbody", "td": "tr", "th": "tr"}
+MARKS = set("applet caption marquee object td template th".split())
 _BLANK = " \t\n\r\f"
 
 
@@ -142,8 +143,8 @@ class HtmlTree(HTMLParser):
                 return False
         return False
 
-    def _put(self, node: Node | str) -> None:
-        parent = self.stack[-1]
+    def _put(self, node: Node | str, parent: Node | None = None) -> None:
+        parent = parent or self.stack[-1]
         if parent.name in ("table", "tbody", "thead", "tfoot", "tr") and (isinstance(node, str) and node.strip(_BLANK) or isinstance(node, Node) and node.name not in TABLE_PARTS and node.name not in HEAD_ONLY | {"form", "input", "col"}):
             table = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].name == "table")
             above = self.stack[table - 1].children
@@ -175,7 +176,17 @@ class HtmlTree(HTMLParser):
         while self.stack[-1].name in IMPLIED_END and self.stack[-1].name != but:
             self.stack.pop()
 
+    def _live(self) -> list[Node]:
+        """The formatting elements since the innermost cell began; what began in closed cells is forgotten."""
+        gone = next((i for i, n in enumerate(self.formatting) if n.name in MARKS and n not in self.stack), None)
+        if gone is not None:
+            del self.formatting[gone:]
+        begin = max((i + 1 for i, n in enumerate(self.formatting) if n.name in MARKS), default=0)
+        return self.formatting[begin:]
+
     def _reopen(self) -> None:
+        if not self._live():
+            return
         at = len(self.formatting)
         while at and self.formatting[at - 1] not in self.stack:
             at -= 1
@@ -183,6 +194,65 @@ class HtmlTree(HTMLParser):
             old = self.formatting[i]
             self.formatting[i] = self._push(old.name, dict(old.attributes))
 
+    def _unlink(self, node: Node) -> None:
+        """Take a node out of its parent, which is still open."""
+        for parent in reversed(self.stack):
+            for i, child in enumerate(parent.children):
+                if child is node:
+                    del parent.children[i]
+                    return
+
+    def _end_formatting(self, tag: str) -> bool:
+        """The end of a formatting element, whose blocks adopt what they hold of it. False where no such
+        element is open: then the end tag is like any other."""
+        if self.stack[-1].name == tag and self.stack[-1] not in self.formatting:
+            self.stack.pop()
+            return True
+        for _ in range(8):  # fixed value of the rules
+            node = next((n for n in reversed(self._live()) if n.name == tag), None)
+            if node is None:
+                return _ > 0
+            if node not in self.stack:
+                self.formatting.remove(node)
+                return True
+            if not self._open(tag):
+                return True
+            at = self.stack.index(node)
+            block = next((n for n in self.stack[at + 1 :] if n.name in SPECIAL), None)
+            if block is None:
+                del self.stack[at:]
+                self.formatting.remove(node)
+                return True
+            self._adopt(node, at, block)
+        return True
+
+    def _adopt(self, node: Node, at: int, block: Node) -> None:
+        """Split formatting element `node`, open at `at`, around `block`: what is open between them is
+        opened anew around the block, and the block's content goes into a copy of node."""
+        self._unlink(block)
+        mark, moved = self.formatting.index(node), block
+        between = self.stack[at + 1 : self.stack.index(block)]
+        for steps, inner in enumerate(reversed(between), 1):
+            if steps > 3 and inner in self.formatting:  # fixed value of the rules
+                mark -= self.formatting.index(inner) < mark
+                self.formatting.remove(inner)
+            if inner not in self.formatting:
+                self.stack.remove(inner)
+                continue
+            copy = Node(inner.name, dict(inner.attributes), inner.ns)
+            self.formatting[self.formatting.index(inner)] = self.stack[self.stack.index(inner)] = copy
+            if moved is block:
+                mark = self.formatting.index(copy) + 1
+            copy.children.append(moved)
+            moved = copy
+        self._put(moved, self.stack[at - 1])
+        copy = Node(node.name, dict(node.attributes), node.ns)
+        copy.children, block.children = block.children, [copy]
+        self.formatting.insert(mark, copy)
+        self.formatting.remove(node)
+        self.stack.remove(node)
+        self.stack.insert(self.stack.index(block) + 1, copy)
+
     def _in_body(self) -> None:
         if self.body is None:
             if self.head is None:
@@ -259,14 +329,14 @@ class HtmlTree(HTMLParser):
                 return
             if tag == "col" and self.stack[-1].name != "colgroup":
                 self._push("colgroup", {})
-        elif tag == "a" and (old := next((n for n in self.formatting if n.name == "a"), None)):
+        elif tag == "a" and (old := next((n for n in self._live() if n.name == "a"), None)):
             self.handle_endtag("a")
             if old in self.formatting:
                 self.formatting.remove(old)
         if tag in FORMATTING:
             self._reopen()
             node = self._push(tag, attributes)
-            alike = [n for n in self.formatting if n.name == tag and n.attributes == attributes]
+            alike = [n for n in self._live() if n.name == tag and n.attributes == attributes]
             if len(alike) >= 3:
                 self.formatting.remove(alike[0])
             self.formatting.append(node)
@@ -274,7 +344,9 @@ class HtmlTree(HTMLParser):
         if tag not in CLOSES_P | {"li", "dd", "dt", "col"} and tag not in TABLE_PARTS:
             self._reopen()
         ns = {"svg": SVG, "math": MATH}.get(tag, XHTML)
-        self._push("img" if tag == "image" else tag, attributes, ns)
+        node = self._push("img" if tag == "image" else tag, attributes, ns)
+        if tag in MARKS:
+            self.formatting.append(node)  # a mark: formatting does not go into it
         if tag in VOID or tag == "image" or (closed and ns != XHTML):
             self.stack.pop()
         self.skip_feed = tag in ("pre", "listing", "textarea")
@@ -315,15 +387,8 @@ class HtmlTree(HTMLParser):
             self._push("p", {})
             self.stack.pop()
             return
-        if tag in FORMATTING:
-            node = next((n for n in reversed(self.formatting) if n.name == tag), None)
-            if node is not None:
-                self.formatting.remove(node)
-                if node in self.stack:
-                    above = self.stack[self.stack.index(node) + 1 :]
-                    if not any(n.name in SPECIAL for n in above):
-                        del self.stack[self.stack.index(node) :]
-                return
+        if tag in FORMATTING and self._end_formatting(tag):
+            return
         if tag in HEADINGS:
             if any(self._open(h) for h in HEADINGS):
                 while self.stack[-1].name not in HEADINGS:

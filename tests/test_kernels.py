@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quireflow.kernels import archive, cfi, folding, fonts, locating, package, paths, prepare, reading, units
+from quireflow.kernels import archive, cfi, folding, fonts, locating, markup, package, paths, prepare, reading, units
 from quireflow.kernels.errors import BookError
 from tests import books
 
@@ -251,3 +251,19 @@ def test_prepared_documents():
     assert c.text == d.text and [str(c.cfi_at(o)) for o in range(len(c.text))] == [str(d.cfi_at(o)) for o in range(len(d.text))]
     with pytest.raises(ValueError):
         prepare.Settings(font_scale=9)
+
+
+@pytest.mark.parametrize(
+    ("source", "tree"),
+    [
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"), ("<a>1<div>2<div>3</a>4</div>5</div>", "<a>1</a><div><a>2</a><div><a>3</a>4</div>5</div>"), ("<b><i>x</b>y</i>", "<b><i>x</i></b><i>y</i>"),
+        ("<b>1<i>2<p>3</b>4", "<b>1<i>2</i></b><i><p><b>3</b>4</p></i>"), ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<table><b><tr><td>aaa</td></tr>bbb</table>ccc", "<b></b><b>bbb</b><table><tbody><tr><td>aaa</td></tr></tbody></table><b>ccc</b>"), ("<font><p>hello<b>cruel</font>world", "<font></font><p><font>hello<b>cruel</b></font><b>world</b></p>"),
+        ("<b><em><foo><foo><foob><foob><foo><aside></b></em>", "<b><em><foo><foo><foob><foob><foo></foo></foob></foob></foo></foo></em></b><aside><b></b></aside>"), ("<b>x<td>y", "<b>xy</b>"), ("x</b>y</p>z", "xy<p></p>z"),
+    ],
+)
+def test_formatting_is_adopted(source, tree):
+    def show(node):
+        return node if isinstance(node, str) else f"<{node.name}>{''.join(map(show, node.children))}</{node.name}>"
+
+    assert "".join(map(show, markup.parse_html(source).children[1].children)) == tree

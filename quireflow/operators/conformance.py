@@ -43,12 +43,19 @@ def run(library: Library, expectations: DataFrame | None = None) -> DataFrame:
 def checks(library: Library) -> DataFrame:
     """(book, check, value): keyed facts of every book, as strings, to be joined with what is expected."""
     b = library.books.where("error is null")
+    hrefs = F.transform(F.filter("spine", lambda s: s["linear"]), lambda s: s["href"])
     facts = {
         "title": F.col("metadata.title"), "language": F.element_at("metadata.languages", 1), "layout": F.col("metadata.layout"), "direction": F.col("metadata.reading_progression"),
         "spine": F.size("spine").cast("string"), "linear": F.size(F.filter("spine", lambda s: s["linear"])).cast("string"), "manifest": F.size("manifest").cast("string"),
         "toc": F.size(F.filter("nav", lambda n: n["kind"] == "toc")).cast("string"), "landmarks": F.size(F.filter("nav", lambda n: n["kind"] == "landmarks")).cast("string"),
         "pages": F.size(F.filter("nav", lambda n: n["kind"] == "page-list")).cast("string"), "missing": F.size("missing").cast("string"), "encrypted": F.size("encryption").cast("string"),
         "warnings": F.array_join(F.array_sort(F.array_distinct(F.col("warnings.code"))), ","), "authors": F.array_join(F.col("metadata.authors.name"), ", "),
+        "package": F.col("package_path"), "identifier": F.col("identifier"), "subtitle": F.col("metadata.subtitle"), "languages": F.array_join("metadata.languages", ", "),
+        "order": F.array_join(hrefs, " "), "first": F.element_at(hrefs, 1), "repeated": (F.size(hrefs) - F.size(F.array_distinct(hrefs))).cast("string"), "contributors": F.array_join(F.col("metadata.contributors.name"), ", "),
+        "author_directions": F.array_join(F.transform("metadata.authors", lambda a: F.coalesce(a["direction"], F.lit("none"))), ", "), "toc_titles": F.array_join(F.transform(F.filter("nav", lambda n: n["kind"] == "toc"), lambda n: n["title"]), "|"),
+        "published": F.date_format("metadata.published", "yyyy-MM-dd"), "modified": F.date_format("metadata.modified", "yyyy-MM-dd"), "duration": (F.col("metadata.duration_us") / 1e6).cast("bigint").cast("string"), "cover": F.col("metadata.cover"),
+        "collections": F.array_join(F.transform("collections", lambda c: c["role"]), ", "), "links": F.array_join(F.flatten(F.transform("links", lambda x: x["rels"])), ", "), "external": F.size(F.filter("manifest", lambda i: i["external"])).cast("string"),
+        "fonts": F.array_join(F.array_sort(F.map_keys("encryption")), ", "), "fallbacks": F.size(F.filter("manifest", lambda i: i["fallback"].isNotNull())).cast("string"),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("value")) for k, v in facts.items()])
     return b.select("book", F.explode(rows).alias("f")).select("book", "f.check", "f.value")
@@ -57,3 +64,16 @@ def checks(library: Library) -> DataFrame:
 def text_lengths(documents: DataFrame) -> DataFrame:
     """(book, idx, length) of plain text documents (book, idx, text)."""
     return documents.select("book", "idx", len16(F.col("text")).cast("long").alias("length"))
+
+
+def document_checks(library: Library) -> DataFrame:
+    """(book, idx, check, value) of what a reader shows of each document: whether anything active or any file
+    URL is left, whether it is laid out in columns, how many references climb out, and what can't be shown."""
+    shown = reader.prepared(library.documents().withColumn("fixed", F.lit(False)).withColumn("book", F.struct("book", "idx")))
+    count = lambda pattern: F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("string")
+    facts = {
+        "active": F.coalesce(F.col("html").rlike("(?i)<iframe|<script[^>]*>[^<]|javascript:"), F.lit(False)).cast("string"), "file_urls": count('(?i)(src|href|data)="\\s*file:'), "columns": F.coalesce(F.contains("html", F.lit("column-width")), F.lit(False)).cast("string"),
+        "images": count("(?i)<img"), "error": F.col("error"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("value")) for k, v in facts.items()])
+    return shown.select(F.col("book.book").alias("book"), F.col("book.idx").alias("idx"), F.explode(rows).alias("f")).select("book", "idx", "f.check", "f.value")

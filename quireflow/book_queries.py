@@ -497,7 +497,7 @@ def cfi_resolution(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(found, ["doc_id", "cfi"]).select("doc_id", F.col("block").cast("bigint").alias("block"), "kind", "start", "match")
 
 
-@query("SELECT doc_id, k, CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 + 5 * (doc_id % 7) ELSE NULL END AS start, CASE k WHEN 0 THEN 'corrected' WHEN 1 THEN 'corrected' ELSE NULL END AS match FROM documents, (VALUES (0), (1), (2)) t(k)")
+@query("SELECT doc_id, k, CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 + 5 * (doc_id % 7) END AS INTEGER) AS start, CASE k WHEN 0 THEN 'corrected' WHEN 1 THEN 'corrected' ELSE NULL END AS match FROM documents, (VALUES (0), (1), (2)) t(k)")
 def cfi_nearest_text(spark: SparkSession, d: str) -> DataFrame:
     """Text assertions that hold elsewhere: at the nearest of several places, the earlier of ties; nowhere."""
     n = (F.col("doc_id") % 7).cast("int")
@@ -566,7 +566,7 @@ def _locators(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'title' WHEN 2 THEN 'locations' WHEN 3 THEN 'progression' WHEN 4 THEN 'position' WHEN 5 THEN 'fragments' WHEN 8 THEN 'text' ELSE 'href or type' END AS error,
-CASE WHEN event_id % 9 = 0 THEN 'x' || event_id || '.html' END AS href, CASE WHEN event_id % 9 = 0 THEN CAST(event_id + 1 AS INTEGER) END AS position, CASE WHEN event_id % 9 = 0 THEN '/4/' || (2 * event_id + 2) END AS partial_cfi, NULL AS css_selector,
+CASE WHEN event_id % 9 = 0 THEN 'x' || event_id || '.html' END AS href, CASE WHEN event_id % 9 = 0 THEN CAST(event_id + 1 AS INTEGER) END AS position, CASE WHEN event_id % 9 = 0 THEN '/4/' || (2 * event_id + 2) END AS partial_cfi, CAST(NULL AS VARCHAR) AS css_selector,
 CASE WHEN event_id % 9 = 0 THEN 'f' || event_id END AS fragment, CASE WHEN event_id % 9 = 0 THEN 'h' END AS highlight FROM events""")
 def locators_from_json(spark: SparkSession, d: str) -> DataFrame:
     """Strict reading: the first wrong field refuses the whole; a number is not taken for a string."""
@@ -735,7 +735,7 @@ def cache_refusals(spark: SparkSession, d: str) -> DataFrame:
 # --- the reader's side ---------------------------------------------------------------------------
 
 
-@query(f"WITH {_CH}, {_BLOCKS} SELECT doc_id, sha256(text) AS sha, false AS active, true AS styled, '../gone.css' AS sheet, NULL AS error FROM whole")
+@query(f"WITH {_CH}, {_BLOCKS} SELECT doc_id, sha256(text) AS sha, false AS active, true AS styled, '../gone.css' AS sheet, CAST(NULL AS VARCHAR) AS error FROM whole")
 def prepared_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapters with scripts, frames, handlers and references that climb out, made safe: nothing active is
     left, the text is what it was, a clamped reference stays inside."""

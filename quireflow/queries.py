@@ -512,6 +512,14 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship_search"] = flagship
+_BARE = "lower(translate(text, 'àâäáãèéêëîïíìôöóòõùûüúñçÀÂÄÁÃÈÉÊËÎÏÍÌÔÖÓÒÕÙÛÜÚÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC'))"
+_GAP = "[\\s\\x0B\\x{85}\\x{A0}]+"
+SQL["flagship_search"] = f"""WITH {_RES}, q(query, pattern) AS (VALUES {', '.join(f"('{w}', '{w.replace(' ', _GAP)}')" for w in _WORDS)}), f AS (SELECT doc_id, {_BARE} AS f FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, query, string_split_regex(f, pattern) AS p, regexp_extract_all(f, pattern) AS m FROM f, q WHERE regexp_matches(f, pattern)),
+hits AS (SELECT doc_id, query, CAST(list_sum(list_transform(p[1:k], lambda x: {_U16.format(x='x')})) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: {_U16.format(x='x')})), 0) AS INTEGER) AS hit_start, {_U16.format(x='m[k]')} AS n FROM parts, unnest(range(1, len(m) + 1)) t(k)),
+o AS (SELECT hits.*, placed.*, (cnt - 1) * 1024 AS last FROM hits JOIN placed ON hits.doc_id = placed.doc_id)
+SELECT query, book, idx, doc_id, hit_start, CAST(hit_start + n AS INTEGER) AS hit_end, start + least(cnt - 1, hit_start // 1024) AS position,
+  least(greatest((start - 1 + CASE WHEN hit_start <= last THEN hit_start / 1024 ELSE least(greatest((cnt - 1) + (hit_start - last) / (len - last), 0), cnt) END) / total, 0), 1) AS total_progression FROM o"""
 
 
 # --- containers, chapters, CFIs and locators -----------------------------------------------------

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Have Spark hand texts to Python in batches of a few megabytes, however long they are: two
-    workers and their executor share one memory limit."""
+    workers and their executor share one memory limit. The setting stays on the session, as frames
+    are evaluated later: it bounds memory and changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -55,8 +59,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Scratch tables that were written and not yet deleted.
-_written: list[str] = []
+#: The lists that note what is cut, innermost last. A context variable: each thread has its own, so
+#: queries that run side by side never see, or delete, each other's tables.
+_noting: ContextVar[tuple[list[str], ...]] = ContextVar("noting", default=())
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are cut inside."""
+    paths: list[str] = []
+    token = _noting.set((*_noting.get(), paths))
+    try:
+        yield paths
+    finally:
+        _noting.reset(token)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -65,21 +81,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append(path)
+    for paths in _noting.get():
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """The scratch tables that are there now; a mark for forget()."""
-    return list(_written)
-
-
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that no frame in use still reads."""
-    for path in paths:
-        if path in _written:
-            _written.remove(path)
-            remove(spark, path)
+    while paths:
+        remove(spark, paths.pop())
 
 
 def shuffle_width(spark: SparkSession, size_bytes: float, per_task: float = 16 << 20) -> int:

@@ -21,9 +21,13 @@ Two documents link when their sets of distinct word n-grams satisfy 100 * |both|
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. n-grams are 64-bit hashes.
 
+Rows are told apart by id and text (`key` is a hash of both), classes by their digests: an id may stand
+on several texts, and rows without an id link like any others.
+
 Defined results: a document with fewer words than an n-gram has its whole sequence as one; null and
-empty texts have no set and link with nothing; rows with a null id have a null component;
-repeated rows are returned as often as they occur.
+empty texts have no set and link with nothing; a component of rows without ids has a null id; repeated
+rows are returned as often as they occur. A very long text is shingled in one task, in memory of about
+ten times its size.
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._graph import components
-from ._spark import cut, forget, shuffle_width, small_batches, written
+from ._spark import cut, forget, shuffle_width, small_batches, tracked
 
 SPACE = K.byte_table((0x09, 0x0D), (0x20, 0x20))
 #: Cells of the sketch (a power of two) and the parts that it is summed in.
@@ -91,19 +95,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "n", "d1", "d2", "part", "counts"]
+        names = ["id", "key", "n", "d1", "d2", "part", "counts"]
         for batch in batches:
             sizes, digests = [], []
-            for _, _, bounds, data in K.slices(batch.column(1)):
+            for _, _, bounds, data in K.slices(batch.column(2)):
                 sets = ngram_sets(bounds, data, width)
                 sizes += [len(s) for s in sets]
                 digests += [_digest(s) for s in sets]
                 np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
         none = pa.nulls(SKETCH_PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -176,10 +180,17 @@ def _join_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _flagged(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, seen = shared.value, set()
         for batch in batches:
-            a, b = _flags_of(batch.column(0).to_numpy())
-            yield batch.filter(pa.array(((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)))
+            keys = batch.column(0).to_numpy()
+            a, b = _flags_of(keys)
+            some = np.flatnonzero((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1)
+            new = []  # equal rows of a partition go on once
+            for at, key in zip(some.tolist(), keys[some].tolist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(at)
+            yield batch.take(pa.array(new, pa.int64()))
 
     return run
 
@@ -385,8 +396,8 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _multiply(percent: int, width: int):
-    """Rows sorted by (block, window, i, j): id, digest and text -> (a, b) links that span the
-    components found. A text that is not the class's own (of a repeated id) is left out."""
+    """Rows sorted by (block, window, i, j): class, digest and text -> (a, b) links of classes that span
+    the components found. A text that only shares its key with the class's own is left out."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         known: dict[int, np.ndarray] = {}
@@ -404,15 +415,17 @@ def _multiply(percent: int, width: int):
         return [(k, keys[x]) for k, x in zip(keys, label, strict=True) if keys[x] != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, seen = None, [], set()
         out: list[tuple[int, int]] = []
         for batch in batches:
             for *k, i, d1, d2, t in zip(*(batch.column(x).to_pylist() for x in range(8)), strict=True):
                 if k != key:
                     if len(rows) > 1:
                         out += solve(rows)
-                    key, rows = k, []
-                rows.append((i, d1, d2, t))
+                    key, rows, seen = k, [], set()
+                if (i, mark := xxhash.xxh3_128_digest(t)) not in seen:  # one text may come from many partitions
+                    seen.add((i, mark))
+                    rows.append((i, d1, d2, t))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
                 out = []
@@ -446,50 +459,66 @@ def prefix_length_sql(n: str, percent: int):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs`; ids are integers."""
+    """(doc_id, n_shingles, component_id, key, kept) for each row of `docs`; ids are integers. Of each
+    component, `kept` holds for the rows of one id and text: those of the least id."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    described = cut(texts.mapInArrow(K.lean(_describe(width)), "id bigint, n bigint, d1 bigint, d2 bigint, part int, counts binary"), "described")
-    rows = described.where("part is null").select("id", "n", "d1", "d2")
-    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).select("id", key_of("t", "id").alias("key"), "t")
+    described = cut(texts.mapInArrow(K.lean(_describe(width)), "id bigint, key bigint, n bigint, d1 bigint, d2 bigint, part int, counts binary"), "described")
+    rows = described.where("part is null").select("id", "key", "n", "d1", "d2")
+    # The least id with the least of its keys; rows without an id come last.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(first).withColumn("c", F.monotonically_increasing_id()), "classes")
+    if percent < 100:
+        found = components(_links(texts, described, classes, width, percent, block_cells))
+    else:  # only equal sets link
+        found = spark.createDataFrame([], "id bigint, root bigint")
+
+    of_root = classes.join(found, classes["c"] == found["id"]).groupBy("root").agg(F.min("first").alias("least"))
+    linked_classes = found.join(of_root, "root").select(F.col("id").alias("c"), "least")
+    of_class = classes.join(linked_classes, "c", "left").select("d1", "d2", F.coalesce("least", "first").alias("least"))
+    with_sets = rows.where("n > 0").join(of_class, ["d1", "d2"]).select("id", "n", F.col("least.id").alias("component"), "key", (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))).alias("kept"))
+    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component"), "key", F.lit(True).alias("kept"))
+    return with_sets.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "key", "kept")
+
+
+def key_of(text: str, doc_id: str) -> Column:
+    """The key of a row: equal for equal ids and texts."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(doc_id).cast("long"))
+
+
+def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: int, percent: int, block_cells: int) -> DataFrame:
+    """(a, b): links between classes that span the components."""
+    spark = texts.sparkSession
     # Smaller sets link with equal sets only: one n-gram more is already below the share.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-
-    before = written()
-    ranks = spark.sparkContext.broadcast(column_ranks(described))
-    prefixes = cut(texts.select("t").mapInArrow(K.lean(_prefixes(width, percent, least, ranks)), "g bigint, n int, c bigint"), "prefixes")
-    width_of = shuffle_width(spark, 0)
-    ordered = prefixes.repartitionByRange(width_of, "g", "n", "c").sortWithinPartitions("g", "n", "c")
-    blocks = components(_candidates(ordered, percent))
-
-    grouped = classes.where(F.col("n") >= least).join(blocks.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1").where("id is not null")
-    # A block that is too large for a task is cut into windows of two neighbouring size bands (sizes
-    # of linking rows are at most one band apart), and a window that still is into parts.
-    step = math.log(100 / percent) * 1.001
-    total = grouped.groupBy("block").agg(F.sum("n").alias("cells"))
-    band = F.when(F.col("cells") > block_cells, F.floor(F.log("n") / step)).otherwise(F.lit(0))
-    windows = F.when(F.col("cells") > block_cells, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
-    placed = grouped.join(total, "block").withColumn("band", band).withColumn("window", F.explode(windows))
-    parts = placed.groupBy("block", "window").agg(F.ceil(F.sum("n") / block_cells).cast("int").alias("parts"), F.count("*").alias("m"))
-    one = placed.join(parts.where("m > 1"), ["block", "window"]).select("id", "d1", "d2", "block", F.struct("window", "parts").alias("w"))
-    members = cut(one.groupBy("id", "d1", "d2", "block").agg(F.collect_list("w").alias("windows")), "members")
-    bits = members.select("id").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
+    with tracked() as passed:
+        ranks = spark.sparkContext.broadcast(column_ranks(described))
+        prefixes = cut(texts.select("t").mapInArrow(K.lean(_prefixes(width, percent, least, ranks)), "g bigint, n int, c bigint"), "prefixes")
+        width_of = shuffle_width(spark, 0)
+        ordered = prefixes.repartitionByRange(width_of, "g", "n", "c").sortWithinPartitions("g", "n", "c")
+        blocks = components(_candidates(ordered, percent))
+
+        grouped = classes.where(F.col("n") >= least).select("c", F.col("first.key").alias("key"), "n", "d1", "d2").join(blocks.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1")
+        # A block that is too large for a task is cut into windows of two neighbouring size bands (sizes
+        # of linking rows are at most one band apart), and a window that still is into parts.
+        step = math.log(100 / percent) * 1.001
+        total = grouped.groupBy("block").agg(F.sum("n").alias("cells"))
+        band = F.when(F.col("cells") > block_cells, F.floor(F.log("n") / step)).otherwise(F.lit(0))
+        windows = F.when(F.col("cells") > block_cells, F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
+        placed = grouped.join(total, "block").withColumn("band", band).withColumn("window", F.explode(windows))
+        parts = placed.groupBy("block", "window").agg(F.ceil(F.sum("n") / block_cells).cast("int").alias("parts"), F.count("*").alias("m"))
+        one = placed.join(parts.where("m > 1"), ["block", "window"]).select("c", "key", "d1", "d2", "block", F.struct("window", "parts").alias("w"))
+        members = cut(one.groupBy("c", "key", "d1", "d2", "block").agg(F.collect_list("w").alias("windows")), "members")
+    bits = members.select("key").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
-    asked = texts.where("id is not null").mapInArrow(K.lean(_flagged(shared)), "id bigint, t string")
-    whole = members.join(asked, "id").withColumn("w", F.explode("windows"))
-    own = F.pmod(F.xxhash64("id"), F.col("w.parts")).cast("int")
+    asked = texts.select("key", "t").mapInArrow(K.lean(_flagged(shared)), "key bigint, t string")
+    whole = members.join(asked, "key").withColumn("w", F.explode("windows"))
+    own = F.pmod(F.xxhash64("c"), F.col("w.parts")).cast("int")
     pairs = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)))
-    tasks = pairs.select("block", "w.window", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "d1", "d2", "t")
+    tasks = pairs.select("block", "w.window", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "d1", "d2", "t")
     keys = ["block", "window", "i", "j"]
     tasks = tasks.repartition(width_of, *keys).sortWithinPartitions(*keys)
-    passed = [x for x in written() if x not in before]
     links = cut(tasks.mapInArrow(K.lean(_multiply(percent, width)), "a bigint, b bigint"), "links")
     forget(spark, passed)
-
-    found = components(links)
-    of_class = classes.join(found.withColumnRenamed("root", "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    with_sets = rows.where("n > 0 and id is not null").join(of_class, ["d1", "d2"]).select("id", "n", "component")
-    # Without a set, or without an id, a row is alone.
-    alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return with_sets.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return links

@@ -36,11 +36,17 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "kept")
+    """Bytes by the contract, and beside them the words in passages of 50 words that are elsewhere too,
+    which are often shorter than 400 bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.dedup(docs).drop("kept")
+    words = suffix_dedup.passage_words(docs).select("key", F.col("n_removed").alias("words"))
+    return found.join(words, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("words", F.lit(0)).alias("n_passage_words"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

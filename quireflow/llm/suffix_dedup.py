@@ -1,7 +1,8 @@
 """Suffix-array dedup: a distributed merge sort of sampled suffixes that knows common prefixes.
 
-Every byte covered by a string of `length` bytes that also starts anywhere else is marked. Texts are
-UTF-8 bytes; strings never cross texts.
+Every unit covered by a string of `length` units that also starts anywhere else is marked; strings never
+cross texts. dedup() takes a text as UTF-8 bytes. passages() takes it as words: each word is replaced by
+WORD_BYTES bytes of its hash, and the same merge sort runs over these.
 
 1. Sampling. A suffix is kept where the hash of its first `seed` bytes is the least (leftmost of
    ties) of some window of `length` bytes. What a window keeps depends on its bytes alone, so any
@@ -17,14 +18,16 @@ UTF-8 bytes; strings never cross texts.
 4. Neighbours in the order with a common seed form a group. In it, a place with l common bytes to
    the left and r to the right of some other place, l + r >= length, is covered from -l to +r; the
    largest such l and r of every place are found exactly.
+   In a large group hashes of the windows propose what is equal, and bytes decide it.
    A seed with more than MOST_SURROUNDINGS distinct surroundings is left out of the sort: every
-   window of `length` bytes around its places is hashed, counted and joined back instead.
+   window of `length` bytes around its places is counted by its 128-bit digest and joined back instead.
 5. The answers, one per distinct suffix, are joined to the places, and the texts are cut.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; equal rows
 count as two places; rows with a null id take part like any other; extra columns are ignored.
 Cutting bytes can split a character: `kept` is binary, and what is left of a split character is
-dropped where text is returned.
+dropped where text is returned. A very long text is sampled, cut and hashed in one task, in memory
+of about ten times its size; its suffixes are sorted in as many tasks as any others.
 """
 
 from __future__ import annotations
@@ -38,13 +41,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._spark import cut, forget, small_batches, written
+from ._spark import cut, forget, small_batches, tracked
 
 SEED = 64
+#: Bytes of its hash that stand for a word. Two words that differ agree in them once in 2**32 pairs.
+WORD_BYTES = 4
+SPACE = K.byte_table((0x09, 0x0D), (0x20, 0x20))
 #: Bytes of suffixes that a task sorts at once, and about as many that a range merges.
 RUN_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
@@ -54,8 +60,12 @@ MOST_RANGES = 50_000
 MOST_SURROUNDINGS = 200_000
 
 
+#: Members up to which a group is compared by pairs.
+FEW = 48
+
+
 def seed_of(length: int) -> int:
-    return max(1, min(SEED, length // 2))
+    return max(1, min(SEED, length // 6))
 
 
 def sampled(bounds: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,24 +168,31 @@ def _digest(s: bytes) -> tuple[int, int]:
     return signed(d >> 64), signed(d & (1 << 64) - 1)
 
 
-def _runs(length: int, splitters: list[bytes]):
-    """Texts with places -> front-coded sorted runs, each entry in its key range."""
+def _runs(length: int, splitters: list[bytes], parts: int = 1):
+    """Texts with places -> front-coded sorted runs, each entry in its key range. With more parts than
+    one, a key range is dealt once more by a hash of the seed, so that ranges stay small however many
+    suffixes there are."""
     seed = seed_of(length)
     names = ["range", "run", "seq", "shared", "rest", "n"]
 
     def coded(found: dict[bytes, int], run_id: int) -> pa.RecordBatch:
         ranges, shared, rest, n = [], [], [], []
-        last, of_last = b"", -1
+        last: dict[int, bytes] = {}
+        of_last = -1
         for s in sorted(found):
             r = bisect_right(splitters, s[:seed])
-            k = common(last, s) if r == of_last else 0
-            ranges.append(r)
+            if r != of_last:
+                last.clear()
+                of_last = r
+            part = r * parts + (xxhash.xxh64_intdigest(s[:seed]) % parts if parts > 1 else 0)
+            k = common(last[part], s) if part in last else 0
+            ranges.append(part)
             shared.append(k)
             rest.append(s[k:])
             n.append(found[s])
-            last, of_last = s, r
+            last[part] = s
         m = len(n)
-        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([run_id] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(n, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([run_id] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(n, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, int] = {}
@@ -272,9 +289,10 @@ def _few(parts: list[tuple[bytes, bytes]], shared: list[int], length: int) -> li
     return best
 
 
-def _many(parts: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, int]]:
+def _many(parts: list[tuple[bytes, bytes]], shared: list[int], length: int) -> list[tuple[int, int]]:
     """The same for a large group: the hashes of the windows that contain the place are compared
-    column by column, in memory that grows with the group only."""
+    column by column, in memory that grows with the group only. The windows that decide are compared
+    byte by byte in the end; should hashes have lied, bytes take their place."""
     seed = seed_of(length)
     span = length - seed
     grid = np.zeros((len(parts), span + length), np.uint8)
@@ -285,6 +303,7 @@ def _many(parts: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, int]
     weight = K.powers(span + length)
     bits = K.uniform_bits(256, 20_029)
     most, least = np.full(len(parts), -1), np.full(len(parts), length + 1)
+    most_like, least_like = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
     with np.errstate(over="ignore"):
         window = np.zeros(len(parts), np.uint64)
         for t in range(length):
@@ -294,12 +313,20 @@ def _many(parts: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, int]
             at = np.flatnonzero((lefts >= before) & (rights >= length - before))
             if len(at) > 1:
                 order = at[np.argsort(window[at], kind="stable")]
-                same = window[order[1:]] == window[order[:-1]]
-                again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-                most[again] = np.maximum(most[again], before)
-                least[again] = np.minimum(least[again], before)
+                same = np.flatnonzero(window[order[1:]] == window[order[:-1]])
+                again, like = np.concatenate([order[same + 1], order[same]]), np.concatenate([order[same], order[same + 1]])
+                first = most[again] < 0  # columns come by falling `before`
+                most[again[first]], most_like[again[first]] = before, like[first]
+                least[again], least_like[again] = before, like
             if column < span:
                 window += bits[grid[:, column + length]] * weight[column + length] - bits[grid[:, column]] * weight[column]
+    hit = np.flatnonzero(most >= 0)
+    for before, like in ((most[hit], most_like[hit]), (least[hit], least_like[hit])):
+        for at in range(0, len(hit), 4096):
+            some = slice(at, at + 4096)
+            columns = (span - before[some])[:, None] + np.arange(length)
+            if (grid[hit[some, None], columns] != grid[like[some, None], columns]).any():
+                return _few(parts, shared, length)
     return [(int(a), int(length - b)) if a >= 0 else (0, 0) for a, b in zip(most, least, strict=True)]
 
 
@@ -308,10 +335,10 @@ def _answers(group: list[tuple[bytes, int]], shared: list[int], length: int) ->
     parts = [_split(s) for s, _ in group]
     if len(group) == 1:
         best = [(0, 0)]
-    elif len(group) <= 12:
+    elif len(group) <= FEW:
         best = _few(parts, shared, length)
     else:
-        best = _many(parts, length)
+        best = _many(parts, shared, length)
     for (s, n), (right, left), (a, b) in zip(group, parts, best, strict=True):
         if n > 1 and len(left) + len(right) >= length:
             a, b = len(left), len(right)
@@ -417,52 +444,92 @@ def _places(length: int):
     return run
 
 
+def spans_of(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs that spans cover, in order; spans that touch make one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pairs(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return [(s["a"], s["b"]) for s in spans or ()]
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for span in spans for x in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """(id, key, t, spans) -> sizes and what is kept."""
     for batch in batches:
         sizes, removed, spans, shas, kept = [], [], [], [], []
         for _, text, found in _texts(batch):
-            out, last, gone, n = [], 0, 0, 0
-            for a, b in sorted((s["a"], s["b"]) for s in found or ()):
-                if a > last or not n:
-                    n += 1
-                    out.append(text[last:a])
-                    gone += b - a
-                    last = b
-                elif b > last:
-                    gone += b - last
-                    last = b
-            out.append(text[last:])
-            whole = b"".join(out)
+            gone = spans_of(_pairs(found))
+            whole = without(text, gone)
             sizes.append(len(text))
-            removed.append(gone)
-            spans.append(n)
+            removed.append(len(text) - len(whole))
+            spans.append(len(gone))
             shas.append(hashlib.sha256(whole).hexdigest())
             kept.append(whole.decode("utf-8", "ignore") if as_text else whole)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas), pa.array(kept, pa.string() if as_text else pa.binary())], names=["id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, as_text: bool = False) -> DataFrame:
-    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (null
-    where nothing was removed; binary, or with as_text whole characters only), key (of id and text:
-    equal rows have equal keys)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select("id", F.xxhash64("t", "id").alias("key"), "t")
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, t) -> the same with WORD_BYTES of hash for every word of t, A-Z lower-cased."""
+    for batch in batches:
+        for lo, hi, bounds, data in K.slices(batch.column(2)):
+            low = K.LOWER[data]
+            starts, ends, rows = K.runs(bounds, ~SPACE[low])
+            tokens = (K.range_hashes(K.prefix_hashes(low), starts, ends) >> np.uint64(32)).astype(np.uint32)
+            at = (WORD_BYTES * np.searchsorted(rows, np.arange(hi - lo + 1))).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(tokens.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), coded], names=["id", "key", "t"])
+
+
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, t, spans of word hashes) -> how many words there are and go, and the text that is
+    left. A run of words goes with the white space behind it."""
+    for batch in batches:
+        found = batch.column(3).to_pylist()
+        for lo, hi, bounds, data in K.slices(batch.column(2)):
+            starts, _, rows = K.runs(bounds, ~SPACE[data])
+            words_at = np.searchsorted(rows, np.arange(hi - lo + 1))
+            n, removed, spans, kept = [], [], [], []
+            for i in range(hi - lo):
+                base, text = int(bounds[i]), data[bounds[i] : bounds[i + 1]].tobytes()
+                edges = np.append(starts[words_at[i] : words_at[i + 1]] - base, len(text))
+                whole = _whole_words(found[lo + i])
+                n.append(len(edges) - 1)
+                removed.append(sum(b - a for a, b in whole))
+                spans.append(len(whole))
+                kept.append(without(text, [(int(edges[a]), int(edges[b])) for a, b in whole]).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["id", "key", "n_words", "n_removed", "n_spans", "kept"])
+
+
+def _same(x: DataFrame, y: DataFrame):
+    return x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
+
+
+def _repeats(texts: DataFrame, length: int, size: str, sha: bool, own: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, key, t): the rows (id, key, size, sha) without a suffix that may lie in a repeat,
+    the other rows (id, key, t), and spans (id, key, spans) of all strings of `length` bytes of t that
+    start twice. Scratch tables `own`, of which texts is made, are deleted as soon as they are read."""
+    spark = texts.sparkSession
     id_type = texts.schema["id"].dataType.simpleString()
-
-    before = written()
-    samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(K.lean(_sample_rows(length)), f"h bigint, id {id_type}, key bigint, pos array<bigint>"), "samples")
-    # Written, so that both sides of the join are plain exchanges and a hot seed can be split.
-    twice = cut(samples.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1"), "seeds")
+    with tracked() as passed:
+        samples = cut(texts.where(F.octet_length("t") >= length).mapInArrow(K.lean(_sample_rows(length)), f"h bigint, id {id_type}, key bigint, pos array<bigint>"), "samples")
+        # Written, so that both sides of the join are plain exchanges and a hot seed can be split.
+        twice = cut(samples.groupBy("h").agg(F.sum(F.size("pos")).alias("n")).where("n > 1"), "seeds")
     by_text = samples.join(twice.select("h"), "h").groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("places"))
-    same = lambda x, y: x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
-    joined = texts.join(by_text, same(texts, by_text), "left").select(texts["id"], texts["key"], texts["t"], "places")
+    joined = texts.join(by_text, _same(texts, by_text), "left").select(texts["id"], texts["key"], texts["t"], "places")
     whole = F.col("places").isNull()
-    split = joined.select("id", "key", F.octet_length("t").cast("long").alias("n_bytes"), F.when(whole, F.sha2("t", 256)).alias("sha"), F.when(~whole, F.col("t")).alias("t"), "places")
-    passed = [x for x in written() if x not in before]
-    split = cut(split, "texts")
+    digest = F.when(whole, F.sha2("t", 256)) if sha else F.lit(None).cast("string")
+    split = cut(joined.select("id", "key", F.octet_length("t").cast("long").alias(size), digest.alias("sha"), F.when(~whole, F.col("t")).alias("t"), "places"), "texts")
     dirty = split.where("places is not null").select("id", "key", "t", "places")
 
     by_window = None
@@ -471,30 +538,96 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         seen = dirty.mapInArrow(_surroundings(length), "h bigint, c1 bigint, c2 bigint").join(perhaps, "h").distinct()
         crowded = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SURROUNDINGS).select("h"), "crowded")
         own = samples.join(crowded, "h").groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("crowd"))
-        parted = dirty.join(own, same(dirty, own), "left").select(dirty["id"], dirty["key"], "t", F.when(F.col("crowd").isNull(), F.col("places")).otherwise(F.array_except("places", "crowd")).alias("places"), "crowd")
+        parted = dirty.join(own, _same(dirty, own), "left").select(dirty["id"], dirty["key"], "t", F.when(F.col("crowd").isNull(), F.col("places")).otherwise(F.array_except("places", "crowd")).alias("places"), "crowd")
         dirty = cut(parted, "parted")
         windows = dirty.where("crowd is not null").select("id", "key", "t", "crowd").mapInArrow(_windows(length), f"c1 bigint, c2 bigint, id {id_type}, key bigint, a bigint")
         again = windows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
         by_window = cut(windows.join(again, ["c1", "c2"]).select("id", "key", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("s")), "windows")
         dirty = dirty.select("id", "key", "t", "places")
     forget(spark, passed)
+    forget(spark, own or [])
 
     total = dirty.agg(F.sum(F.size("places"))).first()[0] or 0
     seed = seed_of(length)
-    ranges = max(1, min(total, MOST_RANGES, total * (2 * length - seed) // RANGE_BYTES))
+    wanted = max(1, total * (2 * length - seed) // RANGE_BYTES)
+    ranges, parts = min(wanted, MOST_RANGES), -(-wanted // MOST_RANGES)
     sample = sorted(r[0] for r in dirty.mapInArrow(_seeds(seed, max(1, total // max(10_000, 4 * ranges))), "seed binary").collect())
     splitters = sorted({bytes(sample[len(sample) * i // ranges]) for i in range(1, ranges)}) if sample else []
-    runs = dirty.mapInArrow(K.lean(_runs(length, splitters)), "range int, run bigint, seq int, shared int, rest binary, n bigint")
-    runs = runs.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "run", "seq")
-    answers = cut(runs.mapInArrow(K.lean(_merge_ranges(length)), "c1 bigint, c2 bigint, l bigint, r bigint"), "answers")
+    runs = dirty.mapInArrow(K.lean(_runs(length, splitters, parts)), "range bigint, run bigint, seq int, shared int, rest binary, n bigint")
+    if parts > 1:
+        dealt = runs.repartition(len(splitters) + 1, "range")
+    else:
+        dealt = runs.repartitionById(len(splitters) + 1, F.col("range").cast("int"))
+    answers = cut(dealt.sortWithinPartitions("range", "run", "seq").mapInArrow(K.lean(_merge_ranges(length)), "c1 bigint, c2 bigint, l bigint, r bigint"), "answers")
 
     places = dirty.mapInArrow(K.lean(_places(length)), f"c1 bigint, c2 bigint, id {id_type}, key bigint, pos array<bigint>")
     by_place = places.join(answers, ["c1", "c2"]).select("id", "key", F.transform("pos", lambda p: F.struct((p - F.col("l")).alias("a"), (p + F.col("r")).alias("b"))).alias("s"))
     spans = (by_place if by_window is None else by_place.union(by_window)).groupBy("id", "key").agg(F.flatten(F.collect_list("s")).alias("spans"))
-    done = dirty.select("id", "key", "t").join(spans, same(dirty, spans), "left").select(dirty["id"], dirty["key"], "t", "spans")
+    return split.where("places is null").select("id", "key", size, "sha"), dirty.select("id", "key", "t"), spans
+
+
+def key_of(text: str, doc_id: str) -> Column:
+    """The key of a row: equal for equal ids and texts."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(doc_id))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), key_of(text, doc_id).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, as_text: bool = False) -> DataFrame:
+    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (null
+    where nothing was removed; binary, or with as_text whole characters only), key (of id and text:
+    equal rows have equal keys)."""
+    small_batches(docs.sparkSession)
+    texts = _rows(docs, doc_id, text)
+    id_type = texts.schema["id"].dataType.simpleString()
+    clean, dirty, spans = _repeats(texts, length, "n_bytes", True)
+    done = dirty.join(spans, _same(dirty, spans), "left").select(dirty["id"], dirty["key"], "t", "spans")
     kind = "string" if as_text else "binary"
     cut_texts = done.mapInArrow(K.lean(partial(_cut_out, as_text=as_text)), f"id {id_type}, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {kind}")
-    untouched = split.where("places is null").select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("kept"), "n_bytes")
+    untouched = clean.select("id", "key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("kept"), "n_bytes")
     out = untouched.unionByName(cut_texts.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))))
     return out.select(F.col("id").alias(doc_id), "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
+
+def _whole_words(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Runs of words that spans of word hashes cover."""
+    runs = [(-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in spans_of(_pairs(spans))]
+    return [(a, b) for a, b in runs if a < b]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [sum(b - a for a, b in _whole_words(spans)) for spans in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "key", "n_removed"])
+
+
+def _shared_passages(texts: DataFrame, words: int) -> DataFrame:
+    """(id, key, spans): what strings of `words` words that start twice cover, in bytes of word hashes."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    with tracked() as own:
+        coded = cut(texts.mapInArrow(K.lean(_word_hashes), f"id {id_type}, key bigint, t binary"), "words")
+    _, _, spans = _repeats(coded, words * WORD_BYTES, "size", False, own)
+    return spans.where(F.size("spans") > 0)
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50) -> DataFrame:
+    """The rows of `docs` that share a passage: id, key (as in dedup()), n_words, n_removed (words in
+    strings of `words` words that also start anywhere else), n_spans, and kept, the text without them.
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased, so a passage is found however
+    its lines are broken. Text without spaces has few words: for such text dedup() is the one to use."""
+    small_batches(docs.sparkSession)
+    texts = _rows(docs, doc_id, text)
+    found = _shared_passages(texts, words)
+    shared = texts.join(found, _same(texts, found)).select(texts["id"], texts["key"], "t", "spans")
+    done = shared.mapInArrow(K.lean(_cut_words), f"id {texts.schema['id'].dataType.simpleString()}, key bigint, n_words bigint, n_removed bigint, n_spans bigint, kept string")
+    return done.where("n_removed > 0").withColumnRenamed("id", doc_id)
+
+
+def passage_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50) -> DataFrame:
+    """id, key and n_removed of passages(), one row for each id and text, without reading texts again."""
+    small_batches(docs.sparkSession)
+    found = _shared_passages(_rows(docs, doc_id, text), words)
+    counted = found.mapInArrow(_count_words, f"id {found.schema['id'].dataType.simpleString()}, key bigint, n_removed bigint")
+    return counted.where("n_removed > 0").withColumnRenamed("id", doc_id)

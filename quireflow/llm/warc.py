@@ -1,8 +1,8 @@
 """WARC: a deterministic sharded writer and its reader.
 
-Records are dealt to shards by ranges of their key, found from a histogram of payload bytes, and
+Records are dealt to shards by ranges of (key, digest, uri), cut at quantiles of the payload bytes, and
 each shard is written in key order. A shard rolls to a new file when the compressed bytes reach
-`roll_bytes`. Headers, ids and digests are made anew from key and payload, the date is a
+`roll_bytes`, by default an eighth of a shard's uncompressed size. Headers, ids and digests are made anew from key and payload, the date is a
 parameter, and every record is a gzip member of its own, so equal input gives equal files.
 
 A task writes under temporary names that no other attempt uses and returns what it wrote. Only
@@ -17,7 +17,9 @@ digests; payloads are shuffled once, to the shards.
 Defined results: a null payload is empty, a null uri has no WARC-Target-URI; a null key sorts
 first and never is what others refer to, unless all keys of its group are null (then all are
 responses); repeated rows with the largest key are all responses; an empty table gives a manifest
-without files; line breaks in a uri are percent-encoded; one payload is held in memory at a time.
+without files; line breaks in a uri are percent-encoded; one payload is held in memory at a time,
+with its copies about four times its size. Keys are any 64-bit integers; records of one key, or of none,
+spread over shards by digest and uri, only records that are equal in all three stay together.
 """
 
 from __future__ import annotations
@@ -28,18 +30,23 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, small_batches
+from ._spark import cut, forget, small_batches, tracked
 
-ROLL_BYTES = 64 << 20
 #: Uncompressed bytes of a shard at least, and shards at most (then shards are larger).
 SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
+#: Files roll at a shard's uncompressed bytes over this.
+ROLL_SHARE = 8
+#: Weights by which the cuts between shards are found, a shard.
+CUTS_A_SHARD = 16
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 _ROWS = "key bigint, uri string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -165,43 +172,63 @@ def _rename(temporary: str, final: str):
     return run
 
 
-def _shard_of(small: DataFrame, key: str, weight: str, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(block -> shard) rows, the least key, a block's width, and the number of shards. There are
-    at most eight blocks a shard (4096 at least), whatever the number of records."""
-    low, high, total = small.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    shard_bytes = max(shard_bytes, (total or 0) // MOST_SHARDS)
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(4096, 8 * shards)))
-    sums = small.groupBy(F.floor((F.col(key) - low) / width).alias("block")).agg(F.sum(weight).alias("w")).collect()
-    rows, held, shard = [], 0, 0
-    for block, w in sorted((b if b is not None else -1, w) for b, w in sums):
+def _sorted_as(key: Column, *rest: Column) -> Column:
+    """A string that sorts like (key, rest), a null key first."""
+    number = F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), number), F.lit("0")), *rest)
+
+
+def _cuts(small: DataFrame, shard_bytes: int) -> tuple[list[str], int]:
+    """Where (key, digest, uri) is cut between shards, and the bytes meant for a shard. A record is drawn
+    with a chance that grows with its bytes, by a hash of itself: about CUTS_A_SHARD strings a shard
+    reach the driver, the same in every run."""
+    total = small.agg(F.sum("w")).first()[0] or 0
+    shard_bytes = max(shard_bytes, total // MOST_SHARDS)
+    step = max(1, shard_bytes // CUTS_A_SHARD)
+    chance = F.pmod(F.xxhash64("key", "digest", "uri"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = small.where(chance < F.col("w") / step).select("at", F.greatest("w", F.lit(step)).alias("w")).collect()
+    cuts, held = [], 0
+    for at, w in sorted((r["at"], r["w"]) for r in drawn):
         if held and held + w > shard_bytes:
-            shard, held = shard + 1, 0
+            if not cuts or at > cuts[-1]:
+                cuts.append(at)
+            held = 0
         held += w
-        rows.append((block, shard))
-    return small.sparkSession.createDataFrame(rows or [(0, 0)], "block bigint, shard int"), low, width, shard + 1
+    return cuts, shard_bytes
+
+
+def _shard(cuts: list[str]):
+    @F.pandas_udf("int")
+    def shard(at: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, x) for x in at], dtype="int32")
+
+    return shard
 
 
-def write_warc(rows: DataFrame, path: str, key: str, uri: str, payload: Column, least_revisit: int = LEAST_REVISIT, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> None:
+def write_warc(rows: DataFrame, path: str, key: str, uri: str, payload: Column, least_revisit: int = LEAST_REVISIT, roll_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> None:
     """Write one record a row to `path`, a new folder that all executors reach."""
     spark = rows.sparkSession
     small_batches(spark)
     data = rows.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"))
     data = data.withColumn("digest", F.sha1("payload"))
-    small = cut(data.select("key", "digest", F.octet_length("payload").cast("long").alias("n"), F.xxhash64("payload").alias("check")), "digests")
-    first = small.where(F.col("n") >= least_revisit).groupBy("digest", "n", "check").agg(F.max("key").alias("refers"), F.count("*").alias("rows")).where("rows > 1 and refers is not null")
-    told = small.join(first.select("digest", "n", "check", "refers"), ["digest", "n", "check"]).where("key is null or key < refers").select("key", "digest", "refers").distinct()
-
-    blocks, low, width, shards = _shard_of(small.withColumn("w", F.col("n") + 600), "key", "w", shard_bytes)
-    records = data.select("key", "digest", F.lit(1).alias("kind"), "uri", "payload", F.lit(None).cast("long").alias("refers"))
-    notes = told.select("key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "refers")
-    block = F.coalesce(F.floor((F.col("key") - low) / width), F.lit(-1))
-    dealt = records.union(notes).withColumn("block", block).join(F.broadcast(blocks), "block")
-    dealt = dealt.select("shard", "key", "digest", "kind", "uri", "payload", "refers").repartitionById(shards, "shard")
-    written = cut(dealt.sortWithinPartitions("shard", "key", "digest", "kind", "uri").mapInArrow(_writer(f"{path}/temporary", roll_bytes, date), _MANIFEST), "written")
-    named = cut(written.mapInArrow(_rename(f"{path}/temporary", f"{path}/data"), _MANIFEST), "named")
+    named_uri = F.coalesce("uri", F.lit(""))
+    with tracked() as passed:
+        size = F.octet_length("payload").cast("long")
+        small = cut(data.select("key", "digest", "uri", size.alias("n"), (size + 600).alias("w"), F.xxhash64("payload").alias("check"), _sorted_as(F.col("key"), F.col("digest"), named_uri).alias("at")), "digests")
+        first = small.where(F.col("n") >= least_revisit).groupBy("digest", "n", "check").agg(F.max("key").alias("refers"), F.count("*").alias("rows")).where("rows > 1 and refers is not null")
+        told = small.join(first.select("digest", "n", "check", "refers"), ["digest", "n", "check"]).where("key is null or key < refers").select("key", "digest", "refers").distinct()
+
+        cuts, shard_bytes = _cuts(small, shard_bytes)
+        shard = _shard(cuts)
+        records = data.select(shard(_sorted_as(F.col("key"), F.col("digest"), named_uri)).alias("shard"), "key", "digest", F.lit(1).alias("kind"), "uri", "payload", F.lit(None).cast("long").alias("refers"))
+        # A note goes to every shard that holds records of its key and digest, nearly always one.
+        ends = told.withColumn("lo", shard(_sorted_as(F.col("key"), F.col("digest")))).withColumn("hi", shard(_sorted_as(F.col("key"), F.col("digest"), F.lit("\U0010ffff"))))
+        notes = ends.select(F.explode(F.sequence("lo", "hi")).alias("shard"), "key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "refers")
+        dealt = records.union(notes).repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "uri")
+        written = cut(dealt.mapInArrow(_writer(f"{path}/temporary", roll_bytes or max(1, shard_bytes // ROLL_SHARE), date), _MANIFEST), "written")
+        named = cut(written.mapInArrow(_rename(f"{path}/temporary", f"{path}/data"), _MANIFEST), "named")
     named.drop("temporary").orderBy("shard", "file").coalesce(1).write.json(f"{path}/manifest")
+    forget(spark, passed)
 
 
 def _members(stream: pa.NativeFile) -> Iterator[bytes]:

@@ -14,14 +14,18 @@ forest, never pairs, so a group of many near copies costs products but no rows.
 Every linking pair is found (recall 1). The price is that tiles within reach grow in number with
 the rows: for vectors without any structure the work of an exact join stays quadratic.
 
-Defined results: vectors that are null, zero, contain null or non-finite components, or differ in
-length from the commonest length link with nothing; rows with a null id count as neighbours but
+Vectors of every length are compared, each with those of its own length: lengths have rotations and
+tiles of their own, and all go through the same tasks. The driver holds one row for each length.
+
+Defined results: vectors that are null, empty, zero, or contain null or non-finite components link with
+nothing, and neither do vectors of different lengths; rows with a null id count as neighbours but
 have a null component; repeated rows are returned as often as they occur.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,7 @@ _PIECE = 1024
 _SLACK = 1e-7  # of a share, for rounding
 
 
+@cache
 def rotation(dim: int, seed: int = 20_033) -> np.ndarray:
     q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -61,38 +66,61 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["id", "dim", "v"])
 
 
-def _firsts(dim: int, turn: np.ndarray, cuts: list[int]):
+def edges_of(dim: int, blocks: int) -> list[tuple[int, int]]:
+    """The coordinates of each block."""
+    cuts = [dim * i // min(blocks, dim) for i in range(min(blocks, dim) + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def reach_of(dim: int, blocks: int, least: float) -> np.ndarray:
+    """How far two vectors that link can be apart in a block that is within its share."""
+    return np.sqrt((2 - 2 * least) * np.array([b - a for a, b in edges_of(dim, blocks)]) / dim + 1e-6) + 1e-9
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, row numbers) of a column of vectors as bytes."""
+    sizes = np.array([len(v) // 8 for v in column.to_pylist()])
+    for dim in np.unique(sizes).tolist():
+        yield dim, np.flatnonzero(sizes == dim)
+
+
+def _firsts(blocks: int):
     """(id, n, v) -> the same with the first turned coordinate of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim)
-            y = _unit(x) @ turn[:, cuts] if len(x) else np.zeros((0, len(cuts)))
-            firsts = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), len(cuts)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, firsts], names=["id", "n", "v", "at"])
+            for dim, rows in _by_length(batch.column(2)):
+                part = batch.take(pa.array(rows))
+                starts = [a for a, _ in edges_of(dim, blocks)]
+                y = _unit(np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(-1, dim)) @ rotation(dim)[:, starts]
+                firsts = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), len(starts)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, firsts], names=["id", "n", "v", "at"])
 
     return run
 
 
-def _deal(marks: list[np.ndarray], reach: list[float]):
-    """(id, n, v, at) -> (block, s, t, side, id, n, v): a row for each pair of tiles that it takes part
-    in, its own and one that holds values within reach; side 0 is the earlier tile."""
+def _deal(marks: dict[int, list[list[float]]], blocks: int, least: float):
+    """(id, n, v, at) -> (dim, block, s, t, side, id, n, v): a row for each pair of tiles that it takes
+    part in, its own and one that holds values within reach; side 0 is the earlier tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, _PIECE):
-                part = batch.slice(start, _PIECE)
-                at = np.array(part.column(3).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                for block, (m, r) in enumerate(zip(marks, reach, strict=True)):
-                    c = at[:, block]
-                    own, lo, hi = (np.searchsorted(m, x, "right") for x in (c, c - r, c + r))
-                    many = hi - lo + 1
-                    row = np.repeat(np.arange(part.num_rows), many)
-                    mate = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(row))
-                    mine = own[row]
-                    where = pa.array(row)
-                    cols = [np.full(len(row), block), np.minimum(mine, mate), np.maximum(mine, mate), mine > mate]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in cols), *(part.column(i).take(where) for i in range(3))], names=["block", "s", "t", "side", "id", "n", "v"])
+            for dim, rows in _by_length(batch.column(2)):
+                reach = reach_of(dim, blocks, least)
+                for start in range(0, len(rows), _PIECE):
+                    part = batch.take(pa.array(rows[start : start + _PIECE]))
+                    at = np.array(part.column(3).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                    for block, r in enumerate(reach):
+                        m = np.array(marks[dim][block] if dim in marks else (), np.float64)
+                        c = at[:, block]
+                        own, lo, hi = (np.searchsorted(m, x, "right") for x in (c, c - r, c + r))
+                        many = hi - lo + 1
+                        row = np.repeat(np.arange(part.num_rows), many)
+                        mate = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(row))
+                        mine = own[row]
+                        where = pa.array(row)
+                        cols = [np.full(len(row), dim), np.full(len(row), block), np.minimum(mine, mate), np.maximum(mine, mate), mine > mate]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in cols), *(part.column(i).take(where) for i in range(3))], names=["dim", "block", "s", "t", "side", "id", "n", "v"])
 
     return run
 
@@ -142,14 +170,14 @@ def tile_links(x: np.ndarray, y: np.ndarray, edges: list[tuple[int, int]], block
                     yield p[own], q[own]
 
 
-def _join(dim: int, turn: np.ndarray, edges: list[tuple[int, int]], least: float):
-    share = (2 - 2 * least) * np.array([b - a for a, b in edges]) / dim
-
-    def solve(block: int, one: bool, ids: list[int], counts: list[int], sides: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _join(blocks: int, least: float):
+    def solve(dim: int, block: int, one: bool, ids: list[int], counts: list[int], sides: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(np.array(sides), kind="stable")
         ids_at, n_at = np.array(ids, np.int64)[order], np.array(counts, np.int64)[order]
         x = _unit(np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)[order])
         split = int((np.array(sides) == 0).sum())
+        edges, turn = edges_of(dim, blocks), rotation(dim)
+        share = (2 - 2 * least) * np.array([b - a for a, b in edges]) / dim
         links, up = np.zeros(len(x), np.int64), np.arange(len(x))
         for p, q in tile_links(x, x @ turn, edges, block, share, least, one, split):
             links += np.bincount(p, n_at[q], minlength=len(x)).astype(np.int64) + np.bincount(q, n_at[p], minlength=len(x)).astype(np.int64)
@@ -161,15 +189,15 @@ def _join(dim: int, turn: np.ndarray, edges: list[tuple[int, int]], least: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [], [])
         for batch in batches:
-            for *k, side, i, n, v in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for *k, side, i, n, v in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if k != key:
                     if key and len(held[0]) > 1:
-                        yield from solve(key[0], key[1] == key[2], *held)
+                        yield from solve(key[0], key[1], key[2] == key[3], *held)
                     key, held = k, ([], [], [], [])
                 for part, value in zip(held, (i, n, side, v), strict=True):
                     part.append(value)
         if key and len(held[0]) > 1:
-            yield from solve(key[0], key[1] == key[2], *held)
+            yield from solve(key[0], key[1], key[2] == key[3], *held)
 
     return run
 
@@ -180,35 +208,30 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     small_batches(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = cut(rows.mapInArrow(_checked, "id bigint, dim int, v binary"), "vectors")
-    common = rows.where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = common["dim"] if common else 0
-    valid = rows.where((F.col("dim") == dim) & (F.col("dim") > 0))
+    valid = rows.where("dim > 0")
     # A class of equal vectors has a number of its own: ids may be null or repeat.
-    classes = valid.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
+    classes = valid.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("dim").alias("dim")).withColumn("id", F.monotonically_increasing_id())
     classes = cut(classes, "classes")
-    if dim:
-        turn = rotation(dim)
-        blocks = min(blocks, dim)
-        cuts = [dim * i // blocks for i in range(blocks)]
-        edges = list(zip(cuts, [*cuts[1:], dim], strict=True))
-        placed = cut(classes.select("id", "n", "v").mapInArrow(_firsts(dim, turn, cuts), "id bigint, n bigint, v binary, at array<double>"), "placed")
-        count = placed.count()
-        tile = max(LEAST_TILE, min(MOST_TILE, count // 6))
-        tiles = max(1, -(-count // tile))
-        reach = [((2 - 2 * least) * (b - a) / dim + 1e-6) ** 0.5 + 1e-9 for a, b in edges]
-        marks = placed.select(*[F.col("at")[i].alias(f"c{i}") for i in range(blocks)]).approxQuantile([f"c{i}" for i in range(blocks)], [i / tiles for i in range(1, tiles)], 0.01) if tiles > 1 else [[]] * blocks
-        dealt = placed.mapInArrow(_deal([np.array(m, np.float64) for m in marks], reach), "block int, s int, t int, side int, id bigint, n bigint, v binary")
-        keys = ["block", "s", "t"]
-        width = shuffle_width(spark, count * dim * 8.0 * blocks * tiles)
-        found = cut(dealt.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(_join(dim, turn, edges, least), "a bigint, b bigint, links bigint"), "links")
-        links = found.groupBy("a").agg(F.sum("links").alias("links"))
-        roots = components(found.select("a", "b"))
-        named = roots.join(classes.select("id", "low"), "id").groupBy("root").agg(F.min("low").alias("component"))
-        of_class = roots.join(named, "root").select("id", "component")
-        classes = classes.join(links.withColumnRenamed("a", "id"), "id", "left").join(of_class, "id", "left")
-    else:
-        classes = classes.withColumn("links", F.lit(0)).withColumn("component", F.lit(None).cast("long"))
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    placed = cut(classes.select("id", "n", "v").mapInArrow(_firsts(blocks), "id bigint, n bigint, v binary, at array<double>"), "placed")
+    marks, dealt_bytes = {}, 0.0
+    for dim, count in sorted(sizes.items()):
+        tiles = max(1, -(-count // max(LEAST_TILE, min(MOST_TILE, count // 6))))
+        dealt_bytes += count * dim * 8.0 * blocks * tiles
+        if tiles > 1:
+            names = [f"c{i}" for i in range(min(blocks, dim))]
+            own = placed.where(F.octet_length("v") == 8 * dim).select(*[F.col("at")[i].alias(c) for i, c in enumerate(names)])
+            marks[dim] = own.approxQuantile(names, [i / tiles for i in range(1, tiles)], 0.01)
+    dealt = placed.mapInArrow(_deal(marks, blocks, least), "dim int, block int, s int, t int, side int, id bigint, n bigint, v binary")
+    keys = ["dim", "block", "s", "t"]
+    width = shuffle_width(spark, dealt_bytes)
+    found = cut(dealt.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(_join(blocks, least), "a bigint, b bigint, links bigint"), "links")
+    links = found.groupBy("a").agg(F.sum("links").alias("links"))
+    roots = components(found.select("a", "b"))
+    named = roots.join(classes.select("id", "low"), "id").groupBy("root").agg(F.min("low").alias("component"))
+    of_class = roots.join(named, "root").select("id", "component")
+    classes = classes.join(links.withColumnRenamed("a", "id"), "id", "left").join(of_class, "id", "left")
     answers = classes.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "low").alias("component"))
     known = valid.join(answers, "v").select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
-    alone = rows.where((F.col("dim") != dim) | (F.col("dim") == 0)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    alone = rows.where("dim = 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return known.union(alone).select(F.col("id").alias(vec_id), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -13,7 +13,8 @@ more, the documents pass over the blocks one after another, each pass cut by a w
 Defined results: a null or wordless text has no words and is never contaminated; a null or
 wordless item matches nothing; an item with a null id hits words but is not listed; repeated
 items count once by id; repeated documents give one row each; extra columns are passed on, those
-that bear a name of the results are replaced by them.
+that bear a name of the results are replaced by them. A very long text is scanned in one task, in
+memory of about ten times its size; so is a very long item, in its pass.
 """
 
 from __future__ import annotations
@@ -149,6 +150,9 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     small_batches(spark)
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if total > block_bytes:  # repeated items would meet in one pass
+        rows = cut(rows.where("t is not null").distinct(), "items")
+        total = 2 * (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0)  # dealt by hash, passes differ in size
     blocks = max(1, -(-total // block_bytes))
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema), "n_words bigint", f"found {_FOUND}", "items array<string>"])
     out = docs

@@ -103,6 +103,13 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.scan(docs.where("false"), bench).count() == 0 and decontaminate.scan(docs, bench.where("false")).where("size(found) > 0").count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "z " * 60_000 + "a b c")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a b c")] * 200 + [(2, "q")] * 50, "item_id bigint, text string")
+    got = decontaminate.summary(decontaminate.scan(docs, bench, block_bytes=40)).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in got) == [(0, 3, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
+
+
 def test_stripping_spans(spark):
     docs = spark.createDataFrame([(1, "Keep it. The Quick, brown fox! And é so on"), (2, None), (3, "quick brown fox")], "doc_id bigint, text string").withColumns({"found": F.lit("x"), "items": F.lit(1), "n_hit": F.lit(2)})
     bench = spark.createDataFrame([(1, "quick brown fox")], "item_id bigint, text string")
@@ -138,6 +145,28 @@ def test_archives(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_shards_of_wide_hot_and_missing_keys(spark):
+    keys = [-(2**63), 2**63 - 1, 10**18, 0, None] + list(range(1, 1500)) + [7] * 700 + [None] * 700
+    rows = [(k, f"u{i}", random.Random(i).randbytes(300).hex()) for i, k in enumerate(keys)]
+    path = scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "key bigint, uri string, body string").repartition(3), path, "key", "uri", F.col("body"), shard_bytes=60_000)
+    files = spark.read.json(f"{path}/manifest").groupBy("shard").agg(F.sum("records").alias("n"), F.count("*").alias("files")).collect()
+    whole = sum(r.n for r in files) / (sum(len(b) + 600 for *_, b in rows) / 60_000)
+    assert len(files) > 30 and max(r.n for r in files) <= 2 * whole and sum(r.n for r in files) == len(rows) and max(r.files for r in files) > 1
+    got = warc.read_warc(spark, path).collect()
+    assert sorted((str(r.key), r.uri, bytes(r.payload).decode()) for r in got) == sorted((str(k), u, b) for k, u, b in rows)
+
+
+def test_revisits_across_shards(spark):
+    body = "same" * 500
+    rows = [(5, f"u{i}", body) for i in range(60)] + [(9, "last", body)]
+    path = scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "key bigint, uri string, body string"), path, "key", "uri", F.col("body"), shard_bytes=20_000)
+    got = warc.read_warc(spark, path).collect()
+    assert {(r.record_type, r.refers_to) for r in got if r.key == 5} == {("revisit", 9)} and [r.record_type for r in got if r.key == 9] == ["response"]
+    assert spark.read.json(f"{path}/manifest").select("shard").distinct().count() > 1
+
+
 def test_a_record_is_plain_warc():
     member = warc.record(1, "http://x", b"body", None, False)
     headers, block = warc.parse(gzip.decompress(member))
@@ -198,6 +227,9 @@ def test_segmentations_decode(spark, vocabulary):
     assert all(len({tuple(s.ids) for s in r.samples}) == len(r.samples) for r in rows)
     again = {(r.doc_id, r.text): [s.ids_sha256 for s in r.samples] for r in pieces.sample(both.repartition(7), vocabulary, k=3, with_ids=False).collect()}
     assert again == {(r.doc_id, r.text): [s.ids_sha256 for s in r.samples] for r in rows}
+    clash = pieces.sample(docs.select("doc_id", "text").withColumns({c: F.lit(1) for c in ("samples", "n_units", "round_trip")}), vocabulary, k=1)
+    assert {f.name for f in clash.schema} == {"doc_id", "text", "samples", "n_units", "round_trip"} and clash.where("round_trip").count() == docs.count()
+    assert pieces.sample(docs.where("false"), vocabulary).count() == 0
     flat = out.where("doc_id is not null").select("doc_id", F.col("text").alias("said"), F.get("samples", F.lit(1))["ids"].alias("ids")).where("ids is not null")
     assert flat.count() and pieces.decode(flat, vocabulary).where("not (said <=> text)").count() == 0
     one = [r for r in rows if r.doc_id == 305]
@@ -226,6 +258,58 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted([(1, len(t), len(t)), (1, len(t), len(t)), (0, len(t) + 1, len(t)), (2, 5, 0), (1, 24, 0)])
 
 
+def test_passages(spark):
+    rng = random.Random(12)
+    shared, said = words(rng, 30), words(rng, 9)
+    rows = [(i, words(rng, rng.randint(0, 40))) for i in range(30)]
+    rows += [(100 + i, words(rng, i % 5) + " " + shared[: len(shared) - 3 * i].replace(" ", "\n " if i % 2 else " ").upper() + "  " + words(rng, i % 4)) for i in range(14)]
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "ab " * 50), (204, "x"), (205, said), (206, said + " é"), (207, words(rng, 30_000) + " " + shared), (208, "y" * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"id": F.lit(1), "t": F.lit(2), "key": F.lit(3), "spans": F.lit(4)}).repartition(5)
+    got = {r.doc_id: (r.kept, r.n_removed) for r in suffix_dedup.passages(df, words=8).collect()}
+    want = {i: x for (i, _), x in zip(rows, brute.passages([t for _, t in rows], 8), strict=True) if x[1]}
+    assert got == want and len(want) > 15
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.passage_words(df, words=8).collect()} == {i: n for i, (_, n) in want.items()}
+    assert suffix_dedup.passages(df.where("false")).count() == 0 and suffix_dedup.passages(df.where("doc_id < 0")).count() == 0
+    twice = spark.createDataFrame([(None, said), (None, said)], "doc_id bigint, text string")
+    assert [(r.n_words, r.n_removed, r.kept) for r in suffix_dedup.passages(twice, words=8).collect()] == [(9, 9, "")] * 2
+
+
+def test_op4_on_a_fixture(spark, tmp_path):
+    rng = random.Random(2)
+    shared, long = words(rng, 60), words(rng, 300)
+    rows = [(i, words(rng, 80)) for i in range(20)] + [(100 + i, f"{words(rng, i)} {shared} {words(rng, 9)}") for i in range(3)] + [(200 + i, words(rng, i + 1) + " " + long) for i in range(3)] + [(300, None), (301, ""), (302, long), (302, long)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect())
+    bytes_ = brute.repeats(rows, 400)
+    assert got == sorted((i, *bytes_[i], n) for (i, _), (_, n) in zip(rows, brute.passages([t for _, t in rows], 50), strict=True))
+    assert sum(r[2] == 0 < r[5] for r in got) >= 3
+
+
+def test_large_groups_like_pairs(monkeypatch):
+    rng = random.Random(5)
+    tail = "".join(rng.choice("ab") for _ in range(40))
+    texts = sorted({("".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) + tail[rng.randint(0, 2) :] + "".join(rng.choice("ab") for _ in range(9))).encode() for _ in range(80)})
+    for length in (12, 30, 42):
+        strings = sorted({suffix_dedup.around(t, p, length) for t in texts for p in range(0, len(t), 7)})
+        parts = [suffix_dedup._split(x) for x in strings]
+        shared = [suffix_dedup.common(strings[i - 1], strings[i]) if i else 0 for i in range(len(parts))]
+        want = suffix_dedup._few(parts, shared, length)
+        assert [x if sum(x) >= length else 0 for x in suffix_dedup._many(parts, shared, length)] == [x if sum(x) >= length else 0 for x in want]
+    with monkeypatch.context() as m:  # hashes that are all equal: bytes decide
+        m.setattr(suffix_dedup.K, "uniform_bits", lambda n, seed: np.zeros(n, np.uint64))
+        assert suffix_dedup._many(parts, shared, length) == want
+
+
+def test_ranges_dealt_by_seed(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", 2)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 500)
+    rng = random.Random(3)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 20) + passage[i : 90 + i] + words(rng, 20)) for i in range(30)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), length=30).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(rows, 30)
+
+
 def test_merge_never_loses_order_or_prefixes():
     rng = random.Random(4)
     for _ in range(60):
@@ -267,10 +351,24 @@ def test_jaccard_odd_rows(spark):
     t = words(random.Random(9), 30)
     df = spark.createDataFrame([(4, t), (4, t), (2, t), (None, t), (7, None), (8, "")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(4, 26, 2), (4, 26, 2), (2, 26, 2), (0, 26, None), (7, 0, 7), (8, 0, 8)], key=str)
+    assert got == sorted([(4, 26, 2), (4, 26, 2), (2, 26, 2), (0, 26, 2), (7, 0, 7), (8, 0, 8)], key=str)
     assert jaccard.near_duplicates(df.where("false")).count() == 0
 
 
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    a, b, c = (words(random.Random(i), 40) for i in (1, 2, 3))
+    rows = [(3, a), (5, a + " x"), (5, b), (6, b + " y"), (None, c), (None, c + " z"), (None, c + " z"), (9, "long " * 40_000 + a), (10, "long " * 40_000 + a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jaccard.near_duplicates(df).collect()
+    key = {r[0:2]: r[2] for r in df.select("doc_id", "text", jaccard.key_of("text", "doc_id")).collect()}
+    component = {k: {r.component_id for r in got if r.key == x} for k, x in key.items()}
+    assert component == {(3, a): {3}, (5, a + " x"): {3}, (5, b): {5}, (6, b + " y"): {5}, (None, c): {None}, (None, c + " z"): {None}, (9, rows[7][1]): {9}, (10, rows[8][1]): {9}}
+    kept = {r.key for r in got if r.kept}
+    assert {k for k, x in key.items() if x in kept and k[0] is not None} == {(3, a), (5, b), (9, rows[7][1])} and sum(key[None, t] in kept for t in (c, c + " z")) == 1
+    exact = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df.where("doc_id < 6"), percent=100).collect()}
+    assert exact == {3: 3, 5: 5}
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 
 
@@ -305,6 +403,10 @@ def test_only_touched_leaves_are_encoded(spark):
     out = {r.doc_id: r for r in token_counts.recount(built.join(e, "doc_id")).collect()}
     enc = token_counts.encoding(token_counts.load_ranks())
     assert all(out[i].n_tokens == len(enc.encode_ordinary(out[i].text or "")) for i in out)
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (4, "long word " * 30_000)], "doc_id bigint, text string")
+    clash = rows.withColumns({c: F.lit(1) for c in ("n_tokens", "leaf_chars", "leaf_tokens", "n_encoded_chars")})
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.build(clash).collect()) == [(i or 0, len(enc.encode_ordinary(t))) for i, t in sorted(((r.doc_id, r.text) for r in rows.collect()), key=lambda x: x[0] or 0)]
+    assert token_counts.build(rows.where("false")).count() == 0
     assert 0 < out[1].n_encoded_chars < 2500 and out[2].n_tokens == 0 and out[3].text == "abc"
 
 
@@ -340,6 +442,11 @@ def test_urls(spark):
     assert got[2][:3] == ("org", "", None) and got[3][2:] == ("org/", "allow") and got[4][2] is None and got[5][2:] == ("com/fr/", "allow") and got[6][2:] == ("com/de/", "block")
     assert got[7][:2] == got[8][:2] == ("", "") and got[9][:3] == ("u.example.org", "", None) and got[10][0] == "h:"
     assert got[100][3] == "block" and got[101][3] == "allow"
+    clash = pages.withColumns({c: F.lit(i) for i, c in enumerate(("host", "path", "rule", "verdict", "bound"))}).unionAll(pages.withColumns({c: F.lit(i) for i, c in enumerate(("host", "path", "rule", "verdict", "bound"))}))
+    again = url_filter.judge(clash, labels, queries.URL_RULES).collect()
+    assert len(again) == 2 * len(urls) and {(r.page_id, r.host, r.path, r.rule) for r in again} == {(i, *got[i][:3]) for i in range(len(urls))}
+    names = spark.createDataFrame([("u:p@a.co.uk:80",), ("b.a.co.uk.",), ("10.0.0.1:8080",), ("[::1]:80",), ("localhost",), ("",), ("a" * 5000 + ".x.org",)], "h string")
+    assert [tuple(r) for r in names.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()] == [("a.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("10.0.0.1", ""), ("[::1]", ""), ("localhost", "localhost"), ("", ""), ("x.org", "org")]
     none = url_filter.judge(pages, labels.where("false"), [("block", "org/")])
     assert {r.verdict for r in none.where("rule is null").collect()} == {"allow"} and url_filter.judge(pages.where("false"), labels, queries.URL_RULES).count() == 0
 
@@ -355,6 +462,22 @@ def test_quality_on_held_out_labels(spark):
     assert (good.score.to_numpy()[:, None] > bad.score.to_numpy()[None]).mean() > 0.98
 
 
+def test_quality_against_plain_ftrl(spark):
+    rng = random.Random(13)
+    vocabulary = ["ab", "Cd", "é1", "ef", "%%", "->", "x"]
+    texts = [" ".join(rng.choice(vocabulary[: 5 + i % 3]) for _ in range(rng.randint(0, 25))) for i in range(60)] + [None, "", "ab ab ab Cd ab", "é" * 3000]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id bigint, text string, label int")
+    order = [r.doc_id for r in df.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).select("doc_id").collect()]
+    for most in (1000, 20):
+        weights = quality.train(df.repartition(3), bits=10, epochs=2, most_rows=most)
+        model = brute.Ftrl()
+        for _ in range(2):
+            for i in order[:most]:
+                model.learn(brute.Ftrl.row(texts[i], 10), i % 2)
+        got = {r.doc_id: r.score for r in quality.score(df, weights).collect()}
+        assert all(abs(got[i] - model.score(brute.Ftrl.row(t, 10))) < 1e-9 for i, t in enumerate(texts))
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "some words"), (3, "some words")], "doc_id bigint, text string").withColumns({"t": F.lit(1), "y": F.lit(2), "h": F.lit(3)})
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (1, None)], "doc_id bigint, quality int")
@@ -376,7 +499,8 @@ def test_vectors(spark, monkeypatch):
     rows = [*base, *(base[:30] + 0.25 * rng.standard_normal((30, 16))), *base[:5], *(base[5:10] * 1e-200), *(base[10:15] * 1e200)]
     data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
     odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [1.0, None] + [0.0] * 14), (904, [1.0, 2.0]), (905, []), (906, [float("inf")] + [0.0] * 15)]
-    df = spark.createDataFrame(data + odd + [(3, data[3][1])], "vec_id bigint, embedding array<double>").withColumns({"v": F.lit(1), "n": F.lit(2), "at": F.lit(3), "id": F.lit(4)}).repartition(3)
+    short = [(950 + i, [1.0, 0.1 * i]) for i in range(3)] + [(960, [1.0]), (961, [7.0]), (962, [-1.0])]
+    df = spark.createDataFrame(data + odd + short + [(3, data[3][1])], "vec_id bigint, embedding array<double>").withColumns({"v": F.lit(1), "n": F.lit(2), "at": F.lit(3), "id": F.lit(4)}).repartition(3)
     got = vector_dedup.near_duplicates(df).collect()
     every = [*data, (3, data[3][1])]
     x = np.array([v for _, v in every])
@@ -386,7 +510,7 @@ def test_vectors(spark, monkeypatch):
     u = brute.Union()
     for i, j in zip(*np.nonzero(link), strict=True):
         u.join(every[i][0], every[j][0])
-    want = sorted([(i, int(n), u.root(i), u.root(i) == i) for (i, _), n in zip(every, link.sum(axis=1), strict=True)] + [(i, 0, i, True) for i, _ in odd])
+    want = sorted([(i, int(n), u.root(i), u.root(i) == i) for (i, _), n in zip(every, link.sum(axis=1), strict=True)] + [(i, 0, i, True) for i, _ in odd if i != 904] + [(904, 0, 904, True), (950, 2, 950, True), (951, 2, 950, False), (952, 2, 950, False), (960, 1, 960, True), (961, 1, 960, False), (962, 0, 962, True)])
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0 and vector_dedup.near_duplicates(df.where("vec_id in (900, 901)")).count() == 2
 

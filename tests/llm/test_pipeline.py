@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quireflow.llm import quality
 from tests.llm import brute
@@ -34,11 +36,9 @@ def test_pipeline(spark, tmp_path):
     left = [(i, t) for i, t in every if i in good]
     groups = brute.jaccard(left, 5, 80)
     left = [(i, t) for i, t in left if groups[i][1] == i]
-    cut = {}
-    plain = brute.repeats(left, 400)
-    for i, t in left:
-        b = (t or "").encode()
-        cut[i] = t if not plain[i][1] else kept(b, left)
+    short = brute.passages([t for _, t in left], corpus_pipeline.PASSAGE)
+    assert sum(n > 0 for _, n in short) >= 3
+    cut = {i: t for (i, _), (t, _) in zip(left, short, strict=True)}
     contaminated = {i for i, (n, h, *_) in brute_scan(list(cut.items()), [(1, item)], 13).items() if h and 20 * h >= n}
     assert 210 in contaminated and 211 not in contaminated
     want = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in cut.items() if i not in contaminated}
@@ -46,22 +46,32 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.text_sha256 for r in got} == want and all(r.round_trip for r in got)
 
 
-def kept(b, rows):
-    windows: dict = {}
-    for _, t in rows:
-        x = (t or "").encode()
-        for k in range(len(x) - 399):
-            windows[x[k : k + 400]] = windows.get(x[k : k + 400], 0) + 1
-    gone = bytearray(len(b))
-    for k in range(len(b) - 399):
-        if windows[b[k : k + 400]] > 1:
-            gone[k : k + 400] = b"\1" * 400
-    return bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
-
-
 def test_stages_keep_the_columns_of_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination", "sentencepiece_sampling"]
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Clashing columns, null ids, repeated rows, ids on several texts, long texts and no rows at all."""
+    rng = random.Random(6)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    a, b, passage = sentence(60), sentence(60), sentence(55)
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b + " x"), (None, sentence(20)), (7, None), (7, None), (8, ""), (9, sentence(9000) + " " + passage), (10, passage + " " + sentence(30))]
+    names = ("_rows", "_score", "score", "key", "kept", "found", "samples", "rows", "c0", "id", "t")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int").withColumns({n: F.lit(1) for n in names})
+    spark.createDataFrame([(3, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of it")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert (out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]) and stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        if name in ("quality_classifier", "benchmark_decontamination", "sentencepiece_sampling"):
+            assert out.count() == len(rows)
+    left = [(r.doc_id, r.text) for r in stages["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=repr) == sorted([(3, a), (5, b), (None, rows[5][1]), (7, None), (8, ""), rows[9], rows[10]], key=repr)
+    cut = [(r.doc_id, r.text, r.n_chars) for r in stages["suffix_array_dedup"](spark, docs, str(tmp_path)).collect()]
+    want = brute.passages([t for _, t in rows], corpus_pipeline.PASSAGE)
+    assert sorted(cut, key=repr) == sorted([(i, t, len(t or "")) for (i, _), (t, _) in zip(rows, want, strict=True)], key=repr)

@@ -515,10 +515,10 @@ def _same(x: DataFrame, y: DataFrame):
     return x["key"].eqNullSafe(y["key"]) & x["id"].eqNullSafe(y["id"])
 
 
-def _repeats(texts: DataFrame, length: int, size: str, sha: bool, own: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _repeats(texts: DataFrame, length: int, size: str, sha: bool, spent: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows (id, key, t): the rows (id, key, size, sha) without a suffix that may lie in a repeat,
     the other rows (id, key, t), and spans (id, key, spans) of all strings of `length` bytes of t that
-    start twice. Scratch tables `own`, of which texts is made, are deleted as soon as they are read."""
+    start twice. Scratch tables `spent`, of which texts is made, are deleted as soon as they are read."""
     spark = texts.sparkSession
     id_type = texts.schema["id"].dataType.simpleString()
     with tracked() as passed:
@@ -545,7 +545,7 @@ def _repeats(texts: DataFrame, length: int, size: str, sha: bool, own: list[str]
         by_window = cut(windows.join(again, ["c1", "c2"]).select("id", "key", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("s")), "windows")
         dirty = dirty.select("id", "key", "t", "places")
     forget(spark, passed)
-    forget(spark, own or [])
+    forget(spark, spent or [])
 
     total = dirty.agg(F.sum(F.size("places"))).first()[0] or 0
     seed = seed_of(length)

@@ -401,7 +401,7 @@ def text_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _markup(spark: SparkSession, d: str, content: Column, media_type: str = "application/xhtml+xml") -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", content.alias("content"), F.lit(media_type).alias("media_type"), F.col("doc_id").cast("string").alias("path"))
+    return T.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", content.alias("content"), F.lit(media_type).alias("media_type"), F.col("doc_id").cast("string").alias("path"))
 
 
 _ID = "CAST(doc_id AS VARCHAR)"

@@ -143,7 +143,7 @@ def search_first_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where benchmark items stand first in whole documents, white space being one space in both (case and
     marks must match, as in the oracle). search_items has every hit, in the texts as they are."""
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \\t\\n\\r\\f\\x0B]+", " "))
-    docs = table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("text"))
+    docs = T.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", flat(F.col("text")).alias("text"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), flat(F.col("text")).alias("query"))
     found = search.hits(docs, items, ["doc_id"], case=True, diacritics=True)
     return found.groupBy("query_id", "doc_id").agg(F.min("start").alias("start"), F.min("end").alias("end"))
@@ -157,7 +157,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 def search_items(spark: SparkSession, d: str) -> DataFrame:
     """All benchmark items, also those of several lines, in whole document texts: every hit. Runs of white
     space are one space, case and marks must match."""
-    found = search.hits(table(spark, d, "documents").select("doc_id", "text"), _items(spark, d), ["doc_id"], case=True, diacritics=True)
+    found = search.hits(T.spread(table(spark, d, "documents").select("doc_id", "text")), _items(spark, d), ["doc_id"], case=True, diacritics=True)
     return found.select("query_id", "doc_id", "start", "end")
 
 
@@ -401,7 +401,7 @@ def resolve_locations(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item in every document that holds it, as stored locators resolved by the ladder: with
     all fields, with text but no CFI, with a CFI whose text is gone, and from the fragment, the progression or
     the position down, to none. Documents are read as pages with a paragraph a line, equal rows once."""
-    documents = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw"), "text")
+    documents = T.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("raw"), "text")
     found = search.hits(documents, _items(spark, d), ["doc_id", "raw"], case=True, diacritics=True)
     held = found.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("query_id", "query")).alias("items"))
     paragraphs = F.transform(F.split("raw", "\n"), lambda line, i: F.concat(F.lit('<p id="l'), i.cast("string"), F.lit('">'), text.escape_html(line), F.lit("</p>")))
@@ -505,7 +505,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Search with locations: folded hits in documents, each with its position and progression."""
     r = positions.resources(T.document_resources(spark, d)).select("book", "idx", "doc_id", "length", "count", "start", "total")
     asked = spark.createDataFrame([(i, w) for i, w in enumerate(_WORDS)], "query_id bigint, query string")
-    texts = table(spark, d, "documents").select("doc_id", "text")
+    texts = T.spread(table(spark, d, "documents").select("doc_id", "text"))
     found = search.hits(texts, asked, ["doc_id"]).withColumnRenamed("start", "hit_start").withColumnRenamed("end", "hit_end")
     joined = found.join(r, "doc_id").withColumn("at", positions.at_offset(F.col("hit_start"), F.col("length")))
     return joined.select("query", "book", "idx", "doc_id", "hit_start", "hit_end", F.col("at.position").alias("position"), "at.total_progression")

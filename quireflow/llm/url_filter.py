@@ -115,8 +115,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], u
     pages = pages.drop(*({"host", "path", "rule", "verdict", "bound"} - {url}))
     parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     named = outcomes.select(host_of(F.col("url")).alias("host"), F.col("good"))
-    scores = reputation(parts.select("host").distinct(), named, z, suffixes)
+    # Written, so that pages meet it as a broadcast while it is small, and a hot host can be split beyond.
+    scores = cut(reputation(parts.select("host").distinct(), named, z, suffixes).select("host", "bound"), "scores")
     action = F.create_map(*[F.lit(x) for a, r in rules for x in (r, a)])
-    judged = parts.join(scores.select("host", "bound"), "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = parts.join(scores, "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_host = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
     return judged.withColumn("verdict", F.coalesce(F.try_element_at(action, F.col("rule")), by_host)).drop("bound")

@@ -12,6 +12,9 @@ Two documents link when their sets of distinct word n-grams satisfy 100 * |both|
    accumulated by pair, and a pair goes on if what it may have beyond the prefixes could lift it
    over the bound that the two sizes set. Of a column with more rows, each run of close sizes is
    kept together instead, without pairs. Components of both are blocks: no linking pair is in two.
+   In a large table common n-grams may tie very many rows together that way, so a block over
+   `block_cells` n-grams is divided: its hash range is cut into parts, linking rows are equal in one
+   of the first few by hash, and the components by these are its blocks.
 3. Each block's sets are multiplied: overlap counts of a row against the prefixes of the rows not
    reached yet, pairs below the bound are discarded, the rest are counted over whole rows. What is
    reached joins a component and leaves the product, so a group of many near copies costs a few
@@ -48,7 +51,7 @@ from ._spark import cut, forget, shuffle_width, small_batches, tracked
 
 SPACE = K.byte_table((0x09, 0x0D), (0x20, 0x20))
 #: Cells of the sketch (a power of two) and the parts that it is summed in.
-SKETCH_BITS, SKETCH_PARTS = 22, 16
+SKETCH_BITS, SKETCH_PARTS = 23, 16
 #: Sketches that one task sums.
 SKETCHES_A_TASK = 512
 #: Rows up to which a column's pairs are counted.
@@ -94,7 +97,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
         names = ["id", "key", "n", "d1", "d2", "part", "counts"]
         for batch in batches:
             sizes, digests = [], []
@@ -102,24 +105,34 @@ def _describe(width: int):
                 sets = ngram_sets(bounds, data, width)
                 sizes += [len(s) for s in sets]
                 digests += [_digest(s) for s in sets]
-                np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
+                cells = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+                np.add.at(sketch, cells[sketch[cells] < 1 << 15], 1)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
+        # Above 255 of one partition the order no longer matters.
+        parts = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
         none = pa.nulls(SKETCH_PARTS, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
 
-def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
-            sums[part] = sums[part] + x if part in sums else x
-    keys = sorted(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(np.minimum(sums[k], 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for k in keys], pa.binary())], names=["part", "counts"])
+def _sum_sketch(kind: type):
+    """Sums of the parts whose counts are of the given kind, as 32-bit counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(counts), kind)
+                if part in sums:
+                    sums[part] += x
+                else:
+                    sums[part] = x.astype(np.int64)
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(np.minimum(sums[k], 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for k in keys], pa.binary())], names=["part", "counts"])
+
+    return run
 
 
 def _rank_cells(load: float):
@@ -139,14 +152,15 @@ def _rank_cells(load: float):
 
 
 def column_ranks(described: DataFrame) -> np.ndarray:
-    """A rank of 0 to 255 for each sketch cell by its share of all n-grams: 2**22 bytes whatever the
+    """A rank of 0 to 255 for each sketch cell by its share of all n-grams: 2**23 bytes whatever the
     input."""
     parts = described.where("part is not null").select("part", "counts")
-    salts = -(-parts.where("part = 0").count() // SKETCHES_A_TASK)
+    salts, kind = -(-parts.where("part = 0").count() // SKETCHES_A_TASK), np.uint8
     if salts > 1:  # many sketches are first summed in groups
         salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        parts = cut(salted.repartition(SKETCH_PARTS * salts, "part", "salt").select("part", "counts").mapInArrow(_sum_sketch, "part int, counts binary"), "sketches")
-    sums = cut(parts.repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch, "part int, counts binary"), "sketch")
+        parts = cut(salted.repartition(SKETCH_PARTS * salts, "part", "salt").select("part", "counts").mapInArrow(_sum_sketch(kind), "part int, counts binary"), "sketches")
+        kind = np.uint32
+    sums = cut(parts.repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch(kind), "part int, counts binary"), "sketch")
     load = (described.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     ranks = dict(sums.mapInArrow(_rank_cells(load), "part int, ranks binary").collect())
     return np.frombuffer(b"".join(bytes(ranks[i]) for i in range(SKETCH_PARTS)), np.uint8) if ranks else np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -332,6 +346,84 @@ def _columns(percent: int, most_rows: int):
     return run
 
 
+def size_bands(percent: int, least: int) -> np.ndarray:
+    """Lower ends of the bands of set sizes, each twice the one before."""
+    return least << np.arange(40, dtype=np.int64)
+
+
+def part_tokens(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
+    """Tokens such that the sets of a linking pair have one in common, whatever they are made of.
+
+    The hash range is cut into as many parts as the larger set's size band says, and a part's token is the
+    hash of the n-grams in it. Linking sets of n_a and n_b differ in d = (n_a + n_b) (100 - percent) /
+    (100 + percent) n-grams at most, so in d of the parts: of all parts in any fixed order of tokens, empty
+    parts last, they share one of the first d + 1. A set that may link into the next band has tokens there too.
+    """
+    n = len(grams)
+    band = int(np.searchsorted(bands, n, "right")) - 1
+    mixed = K.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+    out = []
+    while percent * int(bands[band]) <= 100 * n:
+        top = 2 * int(bands[band]) - 1
+        m = 2 * top * (100 - percent) // (100 + percent)
+        m += 2 + m // 4
+        differ = (n + min(top, 100 * n // percent)) * (100 - percent) // (100 + percent)
+        part = (grams >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # sorted, as the n-grams are
+        at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        place = np.uint64(band << 40)
+        with np.errstate(over="ignore"):
+            tokens = np.sort(K.mix(np.add.reduceat(mixed, at) + K.mix(part[at] + place + np.uint64(1))))[: differ + 1]
+            if len(tokens) <= differ:
+                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[at])
+                tokens = np.concatenate([tokens, np.sort(K.mix(empty + place + np.uint64(1)))[: differ + 1 - len(tokens)]])
+        out.append(tokens)
+        band += 1
+    return np.concatenate(out)
+
+
+def _tokens(width: int, percent: int, least: int):
+    """Rows (class, digest, text) -> (token, class)."""
+    bands = size_bands(percent, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d1, d2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, bounds, data in K.slices(batch.column(2)):
+                tokens, classes = [], []
+                for i, grams in enumerate(ngram_sets(bounds, data, width), lo):
+                    if len(grams) >= least and _digest(grams) == (d1[i], d2[i]):
+                        tokens.append(part_tokens(grams, percent, bands))
+                        classes.append(np.full(len(tokens[-1]), d1[i]))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(classes), pa.int64())], names=["s", "c"])
+
+    return run
+
+
+def _same_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (s, c) -> edges (a, b) between classes of one token, and the partition's first and last
+    token with a class of each (s, a), as these may go on in other partitions."""
+    forest = Forest()
+    last = ends = None
+    for batch in batches:
+        s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(s):
+            continue
+        if last is None:
+            ends = [(int(s[0]), int(c[0]))]
+            last = ends[0]
+        s, c = np.concatenate([[last[0]], s]), np.concatenate([[last[1]], c])
+        at = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), np.arange(len(s)), 0))
+        some = np.flatnonzero(c != c[at])
+        for x, y in set(zip(c[some].tolist(), c[at[some]].tolist(), strict=True)):
+            forest.join(x, y)
+        last = int(s[-1]), int(c[at[-1]])
+    if last is not None:
+        ends = [ends[0], last]
+        rows = [(x, forest.root(x), None) for x in forest.up] + [(c, None, s) for s, c in ends]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "b", "s"])
+
+
 def linked(x: np.ndarray, n_x: int, cells: np.ndarray, at: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
     """Which of `rows` (of the matrix cells, at) link with the row of cells x, counted in full."""
     lengths = at[rows + 1] - at[rows]
@@ -492,14 +584,18 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: in
     spark = texts.sparkSession
     # Smaller sets link with equal sets only: one n-gram more is already below the share.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    with tracked() as passed:
+    with tracked() as passed, tracked() as spent:
         ranks = spark.sparkContext.broadcast(column_ranks(described))
         prefixes = cut(texts.select("t").mapInArrow(K.lean(_prefixes(width, percent, least, ranks)), "g bigint, n int, c bigint"), "prefixes")
         width_of = shuffle_width(spark, 0)
         ordered = prefixes.repartitionByRange(width_of, "g", "n", "c").sortWithinPartitions("g", "n", "c")
         blocks = components(_candidates(ordered, percent))
 
-        grouped = classes.where(F.col("n") >= least).select("c", F.col("first.key").alias("key"), "n", "d1", "d2").join(blocks.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1")
+        found = classes.where(F.col("n") >= least).select("c", F.col("first.key").alias("key"), "n", "d1", "d2").join(blocks.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1")
+        grouped = cut(found, "grouped")
+        forget(spark, [x for x in spent if "/grouped-" not in x])
+    with tracked() as more:
+        grouped = _divided(texts, grouped, width, percent, least, block_cells)
         # A block that is too large for a task is cut into windows of two neighbouring size bands (sizes
         # of linking rows are at most one band apart), and a window that still is into parts.
         step = math.log(100 / percent) * 1.001
@@ -510,9 +606,7 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: in
         parts = placed.groupBy("block", "window").agg(F.ceil(F.sum("n") / block_cells).cast("int").alias("parts"), F.count("*").alias("m"))
         one = placed.join(parts.where("m > 1"), ["block", "window"]).select("c", "key", "d1", "d2", "block", F.struct("window", "parts").alias("w"))
         members = cut(one.groupBy("c", "key", "d1", "d2", "block").agg(F.collect_list("w").alias("windows")), "members")
-    bits = members.select("key").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
-    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
-    asked = texts.select("key", "t").mapInArrow(K.lean(_flagged(shared)), "key bigint, t string")
+    asked = _asked(texts, members)
     whole = members.join(asked, "key").withColumn("w", F.explode("windows"))
     own = F.pmod(F.xxhash64("c"), F.col("w.parts")).cast("int")
     pairs = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w.parts") - 1)))
@@ -520,5 +614,35 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: in
     keys = ["block", "window", "i", "j"]
     tasks = tasks.repartition(width_of, *keys).sortWithinPartitions(*keys)
     links = cut(tasks.mapInArrow(K.lean(_multiply(percent, width)), "a bigint, b bigint"), "links")
-    forget(spark, passed)
+    forget(spark, [*passed, *more])
     return links
+
+
+def _asked(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts (key, t) whose keys are among those of members, and a few more."""
+    bits = members.select("key").mapInArrow(_flag, "bits binary").repartition(1).mapInArrow(_join_flags, "bits binary").collect()[0][0]
+    shared = texts.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
+    return texts.select("key", "t").mapInArrow(K.lean(_flagged(shared)), "key bigint, t string")
+
+
+def _divided(texts: DataFrame, grouped: DataFrame, width: int, percent: int, least: int, block_cells: int) -> DataFrame:
+    """`grouped` with blocks over `block_cells` divided: their classes are joined anew by tokens of parts of
+    their sets, which texts that share but a few frequent n-grams do not have in common. Undivided, a block
+    would grow to all of a large table as its columns fill, and its texts go to as many tasks as it has parts."""
+    spark = texts.sparkSession
+    total = grouped.groupBy("block").agg(F.sum("n").alias("cells"))
+    large = grouped.join(total.where(F.col("cells") > block_cells), "block")
+    members = cut(large.select("c", "key", "n", "d1", "d2"), "large")
+    if members.isEmpty():
+        return grouped
+    rows = members.join(_asked(texts, members), "key").select("d1", "d2", "t")
+    tokens = cut(rows.mapInArrow(K.lean(_tokens(width, percent, least)), "s bigint, c bigint"), "tokens")
+    ordered = tokens.repartitionByRange(shuffle_width(spark, 0), "s", "c").sortWithinPartitions("s", "c")
+    found = cut(ordered.mapInArrow(K.lean(_same_token), "a bigint, b bigint, s bigint"), "same")
+    ends = found.where("s is not null")
+    bridges = ends.join(ends.groupBy("s").agg(F.min("a").alias("m")), "s").select("a", F.col("m").alias("b"))
+    parts = components(found.where("s is null").select("a", "b").union(bridges))
+    divided = members.join(parts.select(F.col("id").alias("d1"), F.col("root").alias("block")), "d1")
+    small = grouped.join(total.where(F.col("cells") <= block_cells), "block")
+    return cut(small.select("c", "key", "n", "d1", "d2", "block").unionByName(divided.select("c", "key", "n", "d1", "d2", "block")), "divided")
+

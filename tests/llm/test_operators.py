@@ -347,6 +347,47 @@ def test_jaccard(spark, monkeypatch, width, percent, cells, most):
     assert got == brute.jaccard(rows, width, percent)
 
 
+def test_jaccard_blocks_of_common_grams_are_divided(spark, monkeypatch):
+    """Where all n-grams are common, columns tie all texts together: only those that may link go on."""
+    monkeypatch.setattr(jaccard, "MOST_ROWS", 2)
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)
+    rng = random.Random(3)
+    few = [words(rng, 1) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(few, k=60))) for i in range(300)]
+    rows += [(1000 + i, " ".join([*t.split()[:-1], "other"])) for i, t in rows[:40]]
+    members, cut = [], jaccard.cut
+
+    def noted(df, name):
+        out = cut(df, name)
+        if name == "members":
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", noted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, block_cells=500).collect()}
+    assert got == brute.jaccard(rows, 5, 80)
+    assert 80 <= members[0] < 170
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linking_sets_share_a_token(percent):
+    rng = np.random.default_rng(percent)
+    least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
+    bands = jaccard.size_bands(percent, least)
+    tokens = lambda grams: set(jaccard.part_tokens(np.sort(grams), percent, bands).tolist())
+    linked = 0
+    for _ in range(3000):
+        n = int(rng.integers(least, 8 * least + 40))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        gone, new = (int(x) for x in rng.integers(0, n * (100 - percent) // percent + 2, 2))
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+        if len(b) >= least and 100 * (n - gone) >= percent * (n + new):
+            linked += 1
+            assert tokens(a) & tokens(b)
+    assert linked > 300
+
+
 def test_jaccard_odd_rows(spark):
     t = words(random.Random(9), 30)
     df = spark.createDataFrame([(4, t), (4, t), (2, t), (None, t), (7, None), (8, "")], "doc_id bigint, text string")

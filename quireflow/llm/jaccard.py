@@ -14,7 +14,7 @@ Two documents link when their sets of distinct word n-grams satisfy 100 * |both|
    kept together instead, without pairs. Components of both are blocks: no linking pair is in two.
    In a large table common n-grams may tie very many rows together that way, so a block over
    `block_cells` n-grams is divided: its hash range is cut into parts, linking rows are equal in one
-   of the first few by hash, and the components by these are its blocks.
+   of the first few by rarity and size, and the components by these are its blocks.
 3. Each block's sets are multiplied: overlap counts of a row against the prefixes of the rows not
    reached yet, pairs below the bound are discarded, the rest are counted over whole rows. What is
    reached joins a component and leaves the product, so a group of many near copies costs a few
@@ -347,24 +347,30 @@ def _columns(percent: int, most_rows: int):
 
 
 def size_bands(percent: int, least: int) -> np.ndarray:
-    """Lower ends of the bands of set sizes, each twice the one before."""
-    return least << np.arange(40, dtype=np.int64)
+    """Lower ends of the bands of set sizes, each a quarter above the one before."""
+    ends = [least]
+    while ends[-1] < 1 << 40:
+        ends.append(max(ends[-1] + 1, ends[-1] * 5 // 4))
+    return np.array(ends, np.int64)
 
 
-def part_tokens(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
+def part_tokens(grams: np.ndarray, percent: int, bands: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
     """Tokens such that the sets of a linking pair have one in common, whatever they are made of.
 
     The hash range is cut into as many parts as the larger set's size band says, and a part's token is the
     hash of the n-grams in it. Linking sets of n_a and n_b differ in d = (n_a + n_b) (100 - percent) /
     (100 + percent) n-grams at most, so in d of the parts: of all parts in any fixed order of tokens, empty
     parts last, they share one of the first d + 1. A set that may link into the next band has tokens there too.
+    Parts whose rarest n-gram is rarest come first, of these the largest: a part of one or two frequent n-grams is
+    equal in very many sets that have little else in common.
     """
     n = len(grams)
+    rank = np.zeros(n, np.uint8) if rank is None else rank
     band = int(np.searchsorted(bands, n, "right")) - 1
     mixed = K.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
     out = []
     while percent * int(bands[band]) <= 100 * n:
-        top = 2 * int(bands[band]) - 1
+        top = int(bands[band + 1]) - 1
         m = 2 * top * (100 - percent) // (100 + percent)
         m += 2 + m // 4
         differ = (n + min(top, 100 * n // percent)) * (100 - percent) // (100 + percent)
@@ -372,7 +378,8 @@ def part_tokens(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarra
         at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         place = np.uint64(band << 40)
         with np.errstate(over="ignore"):
-            tokens = np.sort(K.mix(np.add.reduceat(mixed, at) + K.mix(part[at] + place + np.uint64(1))))[: differ + 1]
+            tokens = K.mix(np.add.reduceat(mixed, at) + K.mix(part[at] + place + np.uint64(1)))
+            tokens = tokens[np.lexsort((tokens, -np.diff(at, append=n), np.minimum.reduceat(rank, at)))[: differ + 1]]
             if len(tokens) <= differ:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[at])
                 tokens = np.concatenate([tokens, np.sort(K.mix(empty + place + np.uint64(1)))[: differ + 1 - len(tokens)]])
@@ -381,18 +388,19 @@ def part_tokens(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
-def _tokens(width: int, percent: int, least: int):
+def _tokens(width: int, percent: int, least: int, shared):
     """Rows (class, digest, text) -> (token, class)."""
     bands = size_bands(percent, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
         for batch in batches:
             d1, d2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, bounds, data in K.slices(batch.column(2)):
                 tokens, classes = [], []
                 for i, grams in enumerate(ngram_sets(bounds, data, width), lo):
                     if len(grams) >= least and _digest(grams) == (d1[i], d2[i]):
-                        tokens.append(part_tokens(grams, percent, bands))
+                        tokens.append(part_tokens(grams, percent, bands, ranks[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                         classes.append(np.full(len(tokens[-1]), d1[i]))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(classes), pa.int64())], names=["s", "c"])
@@ -595,7 +603,7 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: in
         grouped = cut(found, "grouped")
         forget(spark, [x for x in spent if "/grouped-" not in x])
     with tracked() as more:
-        grouped = _divided(texts, grouped, width, percent, least, block_cells)
+        grouped = _divided(texts, grouped, width, percent, least, block_cells, ranks)
         # A block that is too large for a task is cut into windows of two neighbouring size bands (sizes
         # of linking rows are at most one band apart), and a window that still is into parts.
         step = math.log(100 / percent) * 1.001
@@ -625,7 +633,7 @@ def _asked(texts: DataFrame, members: DataFrame) -> DataFrame:
     return texts.select("key", "t").mapInArrow(K.lean(_flagged(shared)), "key bigint, t string")
 
 
-def _divided(texts: DataFrame, grouped: DataFrame, width: int, percent: int, least: int, block_cells: int) -> DataFrame:
+def _divided(texts: DataFrame, grouped: DataFrame, width: int, percent: int, least: int, block_cells: int, ranks) -> DataFrame:
     """`grouped` with blocks over `block_cells` divided: their classes are joined anew by tokens of parts of
     their sets, which texts that share but a few frequent n-grams do not have in common. Undivided, a block
     would grow to all of a large table as its columns fill, and its texts go to as many tasks as it has parts."""
@@ -636,7 +644,7 @@ def _divided(texts: DataFrame, grouped: DataFrame, width: int, percent: int, lea
     if members.isEmpty():
         return grouped
     rows = members.join(_asked(texts, members), "key").select("d1", "d2", "t")
-    tokens = cut(rows.mapInArrow(K.lean(_tokens(width, percent, least)), "s bigint, c bigint"), "tokens")
+    tokens = cut(rows.mapInArrow(K.lean(_tokens(width, percent, least, ranks)), "s bigint, c bigint"), "tokens")
     ordered = tokens.repartitionByRange(shuffle_width(spark, 0), "s", "c").sortWithinPartitions("s", "c")
     found = cut(ordered.mapInArrow(K.lean(_same_token), "a bigint, b bigint, s bigint"), "same")
     ends = found.where("s is not null")

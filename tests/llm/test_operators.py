@@ -388,6 +388,23 @@ def test_linking_sets_share_a_token(percent):
     assert linked > 300
 
 
+@pytest.mark.parametrize(("percent", "ranked"), [(80, True), (90, True), (90, False)])
+def test_few_common_grams_tie_no_blocks(percent, ranked):
+    """Sets that have a tenth of common n-grams beside their own share no token; linking sets do, whatever the ranks."""
+    rng = np.random.default_rng(percent)
+    bands = jaccard.size_bands(percent, 9)
+    common = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rng.choice(common, n // 10, False), rng.integers(0, 1 << 63, n - n // 10, dtype=np.uint64) * np.uint64(2)])) for n in rng.integers(300, 1500, 400)]
+    rank = lambda grams: (np.isin(grams, common) * 200 * ranked).astype(np.uint8)
+    seen = Counter(t for grams in sets for t in set(jaccard.part_tokens(grams, percent, bands, rank(grams)).tolist()))
+    assert max(seen.values()) == 1
+    tokens = lambda grams: set(jaccard.part_tokens(grams, percent, bands, (grams >> np.uint64(40)).astype(np.uint8)).tolist())
+    for grams in sets:
+        most = len(grams) * (100 - percent) // 100
+        near = np.delete(grams, rng.choice(len(grams), int(rng.integers(0, most + 1)), False))
+        assert tokens(grams) & tokens(near)
+
+
 def test_jaccard_odd_rows(spark):
     t = words(random.Random(9), 30)
     df = spark.createDataFrame([(4, t), (4, t), (2, t), (None, t), (7, None), (8, "")], "doc_id bigint, text string")
